@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.catalog import query
-from pageloom.session import table
+from pageloom.session import table, written
 
 # Characters that leave no trace on a page, and the pattern of an absolute address.
 INVISIBLE = "[\\u00ad\\u034f\\u061c\\u115f\\u17b4\\u180e\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2064\\ufe00-\\ufe0f\\ufeff]"
@@ -82,20 +82,25 @@ def count_copies(df: DataFrame, scope: list[str], text: str, row_id: str) -> Dat
     Rows whose text is NULL are left out; a NULL scope is a scope of its own; repeated rows are copies; an empty
     table gives no row. Texts that collide in the 128-bit key differ in the check and stay apart.
     """
-    k = keyed(df.where(F.col(text).isNotNull()).select(*scope, row_id, text), text)
-    return k.groupBy(*scope, *KEY).agg(F.min(row_id).alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    return _groups(keyed(df.where(F.col(text).isNotNull()).select(*scope, row_id, text), text), scope, row_id)
+
+
+def _groups(rows: DataFrame, scope: list[str], row_id: str) -> DataFrame:
+    return rows.groupBy(*scope, *KEY).agg(F.min(row_id).alias("first_id"), F.count(F.lit(1)).alias("copies"))
 
 
 def copies_of_first(df: DataFrame, scope: list[str], text: str, row_id: str) -> DataFrame:
     """Scope, first_id and row_id for every row that repeats an earlier (smaller) id with the same text in its scope.
 
-    Linear in the rows: every copy is paired with the first of its group only. The rows meet the combined groups in
+    The texts are read and canonicalized once: the fixed-width keys are written to the shared scratch folder and read
+    twice from there. Linear in the rows: every copy is paired with the first of its group only. The rows meet the combined groups in
     one equi-join that adaptive execution splits where one key is hot; nothing is gathered per group.
     """
-    groups = count_copies(df, scope, text, row_id).where(F.col("copies") > 1)
-    rows = keyed(df.where(F.col(text).isNotNull()).select(*scope, row_id, text), text).drop(text)
-    on = [rows[c].eqNullSafe(groups[c]) if c in scope else rows[c] == groups[c] for c in (*scope, *KEY)]
-    return rows.join(groups, on).where(rows[row_id] != groups["first_id"]).select(*(rows[c] for c in scope), groups["first_id"], rows[row_id])
+    rows = written(keyed(df.where(F.col(text).isNotNull()).select(*scope, row_id, text), text).drop(text))
+    groups = _groups(rows, scope, row_id).where(F.col("copies") > 1)
+    groups = groups.select("first_id", *(F.col(c).alias(f"__{c}") for c in (*scope, *KEY)))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) if c in scope else F.col(c) == F.col(f"__{c}") for c in (*scope, *KEY)]
+    return rows.join(groups, on).where(F.col(row_id) != F.col("first_id")).select(*scope, "first_id", row_id)
 
 
 def collided(df: DataFrame, scope: list[str], text: str, row_id: str) -> DataFrame:
@@ -108,7 +113,7 @@ def p3_found(spark, sf_dir):
     """Pairs (smallest url_id, other url_id) of one page of a campaign."""
     urls = canonical_url(table(spark, sf_dir, "discovered_urls").select("campaign_id", "url_id", "url"), "url")
     got = copies_of_first(urls, ["campaign_id"], "canonical", "url_id")
-    return got.select(F.col("first_id").alias("url_id_a"), F.col("url_id").alias("url_id_b")).distinct()
+    return got.select(F.col("first_id").alias("url_id_a"), F.col("url_id").alias("url_id_b"))
 
 
 @query("p3_pages")
