@@ -146,4 +146,4 @@ def split_sentences(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 @query("p10_found")
 def p10_found(spark, sf_dir):
     """Every sentence of every document."""
-    return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "start_char", "end_char").distinct()
+    return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "start_char", "end_char")
