@@ -20,5 +20,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _module in ("format_duplicates", "contributor_caps", "sentences", "template_residue", "canonical_values", "representatives"):
+for _module in ("format_duplicates", "contributor_caps", "sentences", "template_residue", "canonical_values", "representatives", "incremental_dedup"):
     importlib.import_module(f"pageloom.llm.{_module}")

@@ -55,13 +55,13 @@ def canonical_url(df: DataFrame, url: str, out: str = "canonical") -> DataFrame:
     df = df.withColumn(p, url_parts(F.col(url)))
     full = F.concat_ws(
         CUT,
-        F.lower(F.col(p)[0]),
-        host_form(F.col(p)[1]),
-        words(F.col(p)[2]),
-        query_form(F.col(p)[3]),
-        words(F.col(p)[4]),
+        F.lower(F.get(p, 0)),
+        host_form(F.get(p, 1)),
+        words(F.get(p, 2)),
+        query_form(F.get(p, 3)),
+        words(F.get(p, 4)),
     )
-    return df.withColumn(out, F.when(F.size(p) == 5, full).when(F.col(url).isNotNull(), words(F.col(p)[0]))).drop(p)
+    return df.withColumn(out, F.when(F.size(p) == 5, full).when(F.col(url).isNotNull(), words(F.get(p, 0)))).drop(p)
 
 
 def keyed(df: DataFrame, text: str) -> DataFrame:
