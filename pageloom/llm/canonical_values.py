@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageloom.llm.catalog import query
+from pageloom.llm.registry import query
 from pageloom.session import table
 
 BLOCK_ENTRIES = 20_000

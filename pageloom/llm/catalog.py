@@ -1,24 +1,15 @@
-"""Registry of the queries of the training-data operators and of their SQL."""
+"""All queries of the training-data operators: importing this module registers them."""
 
 from __future__ import annotations
 
-import importlib
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a (spark, sf_dir) -> DataFrame callable under a name, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-for _module in ("format_duplicates", "contributor_caps", "sentences", "template_residue", "canonical_values", "representatives", "incremental_dedup"):
-    importlib.import_module(f"pageloom.llm.{_module}")
+from pageloom.llm import (  # noqa: F401
+    canonical_values,
+    contributor_caps,
+    format_duplicates,
+    incremental_dedup,
+    representatives,
+    sentences,
+    source_mixing,
+    template_residue,
+)
+from pageloom.llm.registry import ORACLES, QUERIES  # noqa: F401

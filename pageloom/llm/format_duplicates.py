@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.catalog import query
+from pageloom.llm.registry import query
 from pageloom.session import table, written
 
 # Characters that leave no trace on a page, and the pattern of an absolute address.

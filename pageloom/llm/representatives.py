@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageloom.llm.catalog import query
+from pageloom.llm.registry import query
 from pageloom.llm.template_residue import _sql as residue_sql
 from pageloom.llm.template_residue import residue
 from pageloom.session import small, table

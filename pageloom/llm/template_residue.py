@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.catalog import query
+from pageloom.llm.registry import query
 from pageloom.session import table
 
 # What a placeholder may be called, and the patterns of residue, filler, failures, notices and scripts.
