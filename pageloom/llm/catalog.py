@@ -5,6 +5,7 @@ from __future__ import annotations
 from pageloom.llm import (  # noqa: F401
     canonical_values,
     contributor_caps,
+    eval_leaks,
     format_duplicates,
     incremental_dedup,
     representatives,
