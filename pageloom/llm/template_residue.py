@@ -7,6 +7,10 @@ scripts is no case. Patterns use no look-around, so the same text runs in other
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +54,29 @@ SCRIPTS = [
 ]
 #: Patterns that only count when they are the whole field.
 WHOLE = ["\\[[\\p{L}_][^\\[\\]]{0,40}\\](?:[ ,]+\\[[\\p{L}_][^\\[\\]]{0,40}\\])*", "(?:contact: )?[fl]name(?: [fl]name)?", "(?:null|undefined|nan|none|n\\.?n\\.?)", "(?:contact: )?(?:heading|headline|title|text) goes here", "error"]
+
+
+def _by_first_letter(patterns: list[str]) -> str:
+    """One pattern for lower-case text: alternatives at a word's start meet only the words of their first letter."""
+    words: dict[str, list[str]] = {}
+    rest = []
+    for p in patterns:
+        group = re.match(r"\\b\(\?:([^()|]+(?:\|[^()|]+)+)\)(?!\?)", p)
+        heads = [h + p[group.end():] for h in group[1].split("|")] if group else [p[2:]] if p.startswith("\\b") else [p]
+        for h in heads:
+            if (group or p.startswith("\\b")) and h[0].isalnum() and not h[1:2] in ("{", "?", "*", "+"):
+                words.setdefault(h[0], []).append(h[1:])
+            else:
+                rest.append("\\b" + h if group or p.startswith("\\b") else h)
+    return "|".join(["\\b(?:" + "|".join(f"{a}(?:{'|'.join(b)})" for a, b in sorted(words.items())) + ")", *rest])
+
+
 QUOTED = "“[^”]*”|„[^“”]*[“”]|«[^»]*»|`[^`]*`|<code>[^<]*</code>"
 TUTORIAL = "\\b(?:syntax|tutorial|snippet|documentation|template language|code sample|merge tags?)\\b"
 RESIDUE = "(?iu)" + "|".join(PLACEHOLDERS)
-TROUBLE = "(?iu)" + "|".join(FILLER + FAILURES + NOTICES + SCRIPTS)
+TROUBLE = _by_first_letter(FILLER + FAILURES + NOTICES + SCRIPTS)
+#: A text without any of these holds no placeholder.
+SLOT_MARKS = ("{", "[", "<", "%", "@@", "__", "$$", "*|", "((", "&lt;", "&LT;", "todo", "TODO", "Todo")
 ENTIRE = "(?iu)^\\s*(?:" + "|".join(WHOLE) + ")\\s*$"
 #: A text about templates may show placeholders up to this share of its characters.
 TUTORIAL_DENSITY = 0.15
@@ -65,11 +88,12 @@ def residue(text: Column) -> Column:
     NULL, empty and blank texts hold none. Quotations and code spans never count; placeholders in a text that speaks of
     template syntax count only from a density of TUTORIAL_DENSITY on.
     """
-    plain = F.when(text.rlike("[“„«`]|<code>"), F.regexp_replace(text, QUOTED, " ")).otherwise(text)
-    bare = F.when(plain.rlike("[{}<>\\[\\]%@_$#*|(&]"), plain.rlike(RESIDUE)).otherwise(plain.rlike("(?i)\\btodo\\b[ :-]+add\\b"))
+    held = lambda marks: reduce(or_, (text.contains(m) for m in marks))
+    plain = F.when(held(("“", "„", "«", "`", "<code>")), F.regexp_replace(text, QUOTED, " ")).otherwise(text)
+    bare = F.when(held(SLOT_MARKS), plain.rlike(RESIDUE)).otherwise(False)
     dense = F.length(F.regexp_replace(plain, RESIDUE, "")) <= F.length(plain) * (1 - TUTORIAL_DENSITY)
-    slots = F.when(bare & plain.rlike("(?i)" + TUTORIAL), dense).otherwise(bare)
-    return F.coalesce(slots | plain.rlike(TROUBLE) | text.rlike(ENTIRE), F.lit(False))
+    slots = F.when(bare, ~plain.rlike("(?i)" + TUTORIAL) | dense).otherwise(False)
+    return F.coalesce(slots | F.lower(plain).rlike(TROUBLE) | text.rlike(ENTIRE), F.lit(False))
 
 
 def fields_with_residue(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
