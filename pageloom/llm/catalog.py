@@ -8,6 +8,7 @@ from pageloom.llm import (  # noqa: F401
     eval_leaks,
     format_duplicates,
     incremental_dedup,
+    name_variants,
     representatives,
     sentences,
     source_mixing,
