@@ -1,0 +1,286 @@
+"""HTML to rows: a small tree over the standard parser, visible text, links, cards by selector, structured entities.
+
+Each function is an Arrow-batched map over pages: pages are parsed once, only flat rows leave the worker.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Elements without end tag, elements whose text is never shown, page chrome.
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+UNSEEN = set("script style noscript template".split())
+CHROME = set("nav header footer aside".split())
+BLOCK = set("p div li ul ol section article main td th tr table h1 h2 h3 h4 h5 h6 br dl dt dd address figure figcaption blockquote".split())
+
+
+class Node:
+    """An element with its children in document order; texts are plain strings."""
+
+    __slots__ = ("tag", "attrs", "children", "parent")
+
+    def __init__(self, tag: str, attrs: dict, parent: Node | None):
+        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+
+    def walk(self) -> Iterator[Node]:
+        """This element and all below it, in document order, without recursion."""
+        stack = [self]
+        while stack:
+            n = stack.pop()
+            yield n
+            stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
+
+    def hidden(self) -> bool:
+        style = (self.attrs.get("style") or "").replace(" ", "").lower()
+        return self.tag in UNSEEN or "hidden" in self.attrs or "display:none" in style or "visibility:hidden" in style
+
+    def text(self) -> str:
+        """Visible text with single blanks."""
+        out, stack = [], [self]
+        while stack:
+            n = stack.pop()
+            if isinstance(n, str):
+                out.append(n)
+            elif not n.hidden():
+                if n.tag in BLOCK:
+                    out.append(" ")
+                    stack.append(" ")
+                stack.extend(reversed(n.children))
+        return " ".join("".join(out).split())
+
+    def inside(self, tags: set[str]) -> bool:
+        n = self
+        while n is not None:
+            if n.tag in tags:
+                return True
+            n = n.parent
+        return False
+
+
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Node("html", {}, None)
+
+    def handle_starttag(self, tag, attrs):
+        node = Node(tag, dict(attrs), self.at)
+        self.at.children.append(node)
+        if tag not in VOID:
+            self.at = node
+
+    def handle_startendtag(self, tag, attrs):
+        self.at.children.append(Node(tag, dict(attrs), self.at))
+
+    def handle_endtag(self, tag):
+        n = self.at
+        while n is not None and n.tag != tag:
+            n = n.parent
+        if n is not None and n.parent is not None:
+            self.at = n.parent
+
+    def handle_data(self, data):
+        self.at.children.append(data)
+
+
+def tree(html: str | None) -> Node:
+    """The element tree of a page; an empty tree for NULL and broken input."""
+    b = _Builder()
+    try:
+        b.feed(html or "")
+        b.close()
+    except (AssertionError, ValueError):
+        pass
+    return b.root
+
+
+_SIMPLE = re.compile(r"([a-z][a-z0-9-]*|\*)?((?:[.#][\w-]+|\[[\w-]+(?:[\^*$~]?=(?:\"[^\"]*\"|'[^']*'|[^\]]*))?\])*)$", re.I)
+_PART = re.compile(r"[.#][\w-]+|\[[^\]]+\]")
+
+
+def selector(text: str):
+    """A predicate for a selector list of simple selectors and descendants; raises ValueError for anything else."""
+    choices = []
+    for alternative in text.split(","):
+        steps = []
+        for step in alternative.split():
+            m = _SIMPLE.match(step)
+            if not m or not (m[1] or m[2]):
+                raise ValueError(f"unsupported selector: {step}")
+            steps.append(((m[1] or "*").lower(), [_test(p) for p in _PART.findall(m[2])]))
+        if not steps:
+            raise ValueError("empty selector")
+        choices.append(steps)
+
+    def one(node: Node, step) -> bool:
+        tag, tests = step
+        return (tag == "*" or node.tag == tag) and all(t(node) for t in tests)
+
+    def match(node: Node) -> bool:
+        for steps in choices:
+            if not one(node, steps[-1]):
+                continue
+            n, k = node.parent, len(steps) - 2
+            while k >= 0 and n is not None:
+                if one(n, steps[k]):
+                    k -= 1
+                n = n.parent
+            if k < 0:
+                return True
+        return False
+
+    return match
+
+
+def _test(part: str):
+    if part[0] == ".":
+        return lambda n: part[1:] in (n.attrs.get("class") or "").split()
+    if part[0] == "#":
+        return lambda n: n.attrs.get("id") == part[1:]
+    name, op, value = re.match(r"\[([\w-]+)(?:([\^*$~]?=)(.*))?\]", part).groups()
+    value = (value or "").strip("\"'")
+    check = {
+        None: lambda v: True, "=": lambda v: v == value, "^=": lambda v: v.startswith(value), "$=": lambda v: v.endswith(value),
+        "*=": lambda v: value in v, "~=": lambda v: value in v.split(),
+    }[op]
+    return lambda n: name in n.attrs and check(n.attrs[name] or "")
+
+
+def page_text(html: Column) -> Column:
+    """Visible text of a page, single blanks; empty for NULL."""
+
+    @F.pandas_udf("string")
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda h: tree(h).text())
+
+    return text(html)
+
+
+def links(pages: DataFrame, page_id: str, url: str, html: str, most: int = 2000) -> DataFrame:
+    """page_id, pos, url, label, context of the first links of every page, addresses resolved against the page's.
+
+    Context is the text of the nearest small block outside the page's chrome; unresolvable addresses are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for pid, base, h in zip(pdf["i"], pdf["u"], pdf["h"]):
+                pos = 0
+                for n in tree(h).walk():
+                    if n.tag != "a" or not n.attrs.get("href"):
+                        continue
+                    try:
+                        target = urljoin(base or "", n.attrs["href"].strip())
+                    except ValueError:
+                        continue
+                    context = ""
+                    block = n.parent
+                    if block is not None and not n.inside(CHROME):
+                        context = block.text()
+                    rows.append((pid, pos, target, n.text(), context if len(context) <= 600 else ""))
+                    pos += 1
+                    if pos >= most:
+                        break
+            yield pd.DataFrame(rows, columns=["i", "pos", "url", "label", "context"]).astype({"i": "int64", "pos": "int32"})
+
+    d = pages.select(F.col(page_id).cast("long").alias("i"), F.col(url).alias("u"), F.col(html).alias("h"))
+    return d.mapInPandas(run, "i long, pos int, url string, label string, context string").withColumnRenamed("i", page_id)
+
+
+def cards(pages: DataFrame, page_id: str, html: str, recipe: dict[str, str], most: int = 500) -> DataFrame:
+    """page_id, pos, name, title, email, phone, evidence of the elements that the recipe's ``row`` selector matches.
+
+    recipe: selectors of row, name and title. Addresses and numbers come from mailto: and tel: links of the card, else
+    from its text when it holds exactly one. Cards without name, hidden cards and chrome are left out.
+    """
+    checks = {k: selector(v) for k, v in recipe.items()}
+    mail, dial = re.compile(r"[\w.!#$%&'*+/=?^`{|}~-]+@[\w.-]+\.\w{2,}"), re.compile(r"\+?\d[\d ().-]{6,20}\d")
+
+    def pick(row: Node, what: str) -> str:
+        check = checks.get(what)
+        return next((n.text() for n in row.walk() if n is not row and check and check(n)), "")
+
+    def contact(row: Node, scheme: str, pattern: re.Pattern, text: str) -> str:
+        linked = [n.attrs["href"][len(scheme):].split("?")[0] for n in row.walk() if n.tag == "a" and (n.attrs.get("href") or "").lower().startswith(scheme)]
+        found = linked or pattern.findall(text)
+        return found[0].strip() if len(set(found)) == 1 else ""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for pid, h in zip(pdf["i"], pdf["h"]):
+                pos = 0
+                for n in tree(h).walk():
+                    if not checks["row"](n) or n.hidden() or n.inside(CHROME):
+                        continue
+                    text, name = n.text(), pick(n, "name")
+                    if name:
+                        rows.append((pid, pos, name, pick(n, "title"), contact(n, "mailto:", mail, text).lower(), contact(n, "tel:", dial, text), text))
+                        pos += 1
+                        if pos >= most:
+                            break
+            yield pd.DataFrame(rows, columns=["i", "pos", "name", "title", "email", "phone", "evidence"]).astype({"i": "int64", "pos": "int32"})
+
+    d = pages.select(F.col(page_id).cast("long").alias("i"), F.col(html).alias("h"))
+    out = d.mapInPandas(run, "i long, pos int, name string, title string, email string, phone string, evidence string")
+    return out.withColumnRenamed("i", page_id)
+
+
+def _scalar(v) -> str:
+    v = v[0] if isinstance(v, list) and len(v) == 1 else v
+    if isinstance(v, dict):
+        v = v.get("name", "")
+    return str(v) if isinstance(v, (str, int, float)) else ""
+
+
+def _json_entities(node, depth: int = 0) -> Iterator[dict]:
+    if depth > 8:
+        return
+    if isinstance(node, list):
+        for x in node:
+            yield from _json_entities(x, depth + 1)
+    elif isinstance(node, dict):
+        if _scalar(node.get("@type", "")).lower() in ("person", "organization"):
+            yield {"type": _scalar(node["@type"]), **{k: _scalar(node.get(k, "")) for k in ("name", "jobTitle", "email", "telephone", "worksFor")}}
+        for v in node.values():
+            if isinstance(v, (list, dict)):
+                yield from _json_entities(v, depth + 1)
+
+
+def entities(pages: DataFrame, page_id: str, html: str) -> DataFrame:
+    """page_id, syntax, type, name, title, email, phone, employer of JSON-LD and Microdata persons and organisations."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for pid, h in zip(pdf["i"], pdf["h"]):
+                for n in tree(h).walk():
+                    if n.tag == "script" and (n.attrs.get("type") or "").lower() == "application/ld+json":
+                        try:
+                            data = json.loads("".join(c for c in n.children if isinstance(c, str)))
+                        except ValueError:
+                            continue
+                        rows += [(pid, "json-ld", e["type"], e["name"], e["jobTitle"], e["email"].removeprefix("mailto:"), e["telephone"], e["worksFor"]) for e in _json_entities(data)]
+                    kind = (n.attrs.get("itemtype") or "").rstrip("/").rsplit("/", 1)[-1]
+                    if "itemscope" in n.attrs and kind.lower() in ("person", "organization"):
+                        props: dict[str, str] = {}
+                        for c in n.walk():
+                            p = c.attrs.get("itemprop")
+                            if p and c is not n:
+                                value = c.attrs.get("content") or (c.attrs.get("href") or "").split(":", 1)[-1] if c.tag in ("meta", "a", "link") else c.text()
+                                props.setdefault(p, value or c.text())
+                        rows.append((pid, "microdata", kind, props.get("name", ""), props.get("jobTitle", ""), props.get("email", ""), props.get("telephone", ""), props.get("worksFor", "")))
+            yield pd.DataFrame(rows, columns=["i", "syntax", "type", "name", "title", "email", "phone", "employer"]).astype({"i": "int64"})
+
+    d = pages.select(F.col(page_id).cast("long").alias("i"), F.col(html).alias("h"))
+    out = d.mapInPandas(run, "i long, syntax string, type string, name string, title string, email string, phone string, employer string")
+    return out.withColumnRenamed("i", page_id)

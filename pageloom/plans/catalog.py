@@ -1,16 +1,4 @@
-"""Registry of the core queries and of their SQL."""
+"""All core queries: importing this module registers them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a (spark, sf_dir) -> DataFrame callable under a name, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
+from pageloom.plans import html_queries, merge_queries, report_queries, text_queries, url_queries  # noqa: F401
+from pageloom.plans.registry import ORACLES, QUERIES  # noqa: F401
