@@ -11,6 +11,7 @@ evidence (the employer's core, a phone line or an address), and every pair is ve
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.canonical_values import weighted_distance
-from pageloom.llm.incremental_dedup import plain_words
 from pageloom.llm.registry import query
 from pageloom.llm.representatives import AROUND_NAME, CUT, usable
 from pageloom.llm.template_residue import residue
@@ -226,25 +226,69 @@ def phone_line(phone: Column) -> Column:
     return F.when(usable("phone", phone), F.concat(F.substring(digits, -10, 10), F.lit("x"), ext))
 
 
+ROOT_OF = _roots()
+SOFT = str.maketrans("wczjyq", "vksiik")
+
+
+def fold(text: str) -> str:
+    """Lower case without accents."""
+    t = unicodedata.normalize("NFKD", text).lower().replace("ł", "l").replace("ø", "o").replace("đ", "d")
+    return "".join(c for c in t if not unicodedata.combining(c))
+
+
+def person_parts(name: str) -> tuple[str | None, str | None, str | None, list[str]]:
+    """First name, surname, consonant skeleton of the surname and initials of the first name's roots."""
+    text = re.sub(AROUND_NAME, " ", name)
+    comma = "," in text and re.search(r",\s*[^\W\d_]", text)
+    words = re.findall(r"[^\W_]+", fold(text))
+    if len(words) < 2:
+        return None, None, None, []
+    plain = re.findall(r"[^\W\d_]+", text)
+    if comma:
+        n = min(len(re.findall(r"[^\W_]+", fold(text.split(",")[0]))), len(words) - 1)
+        last, first = words[max(n, 1) - 1], words[max(n, 1)]
+    elif len(plain) > 1 and len(plain[0]) > 2 and plain[0].isupper() and not plain[1].isupper():
+        last, first = words[0], words[1]
+    else:
+        last, first = words[-1], words[0]
+    if len(last) < 2:
+        return None, None, None, []
+    soft = last.translate(SOFT)
+    bones = re.sub(r"(.)\1+", r"\1", soft[0] + re.sub("[aeiouh]", "", soft[1:]))
+    return first, last, bones, sorted({first[0], *(r[0] for r in ROOT_OF.get(first, ()))})
+
+
+def compatible(a: str, b: str) -> int:
+    """1: two first names may be one (equal, a shared root, or a slip); 2: one is the other's initial; 0: neither."""
+    ra, rb = ROOT_OF.get(a, [a]), ROOT_OF.get(b, [b])
+    if set(ra) & set(rb):
+        return 1
+    if len(a) == 1 or len(b) == 1:
+        return 2 if {x[0] for x in (a, *ra)} & {x[0] for x in (b, *rb)} else 0
+    if a in ROOT_OF and b in ROOT_OF:
+        return 0
+    for x in (a, *ra):
+        for y in (b, *rb):
+            n = min(len(x), len(y))
+            if not (x in ROOT_OF and y in ROOT_OF) and n >= 4 and weighted_distance(x, y, 3) <= (2.7 if n >= 6 else 1.7):
+                return 1
+    return 0
+
+
 def person_names(df: DataFrame, name: str) -> DataFrame:
-    """Add ``first`` (token), ``roots`` (array), ``last`` and ``skeleton`` of a personal name; all NULL without a surname."""
-    text = F.regexp_replace(F.col(name), AROUND_NAME, " ")
-    comma = text.contains(",") & text.rlike(",\\s*\\p{L}")
-    caps = text.rlike("^\\s*\\p{Lu}{3,}\\s+\\p{Lu}?\\p{Ll}")
+    """Add ``first``, ``last``, ``skeleton`` and ``starts`` of a personal name; all NULL without a surname.
+
+    NULL, cut and placeholder names have no parts.
+    """
+
+    @F.pandas_udf("first string, last string, skeleton string, starts array<string>")
+    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            got = [person_parts(n) if n else (None, None, None, []) for n in s]
+            yield pd.DataFrame(got, columns=["first", "last", "skeleton", "starts"])
+
     good = F.col(name).isNotNull() & ~F.col(name).rlike(CUT) & ~residue(F.col(name))
-    d = df.withColumn("__t", F.when(good, text)).withColumn("__turn", comma | caps)
-    d = d.withColumn("__w", F.split(plain_words(F.col("__t")), " "))
-    # A surname of several words before the comma keeps its last word.
-    before = F.size(F.split(plain_words(F.substring_index("__t", ",", 1)), " "))
-    at = F.when(F.col("__turn") & comma, F.least(before, F.size("__w") - 1)).when(F.col("__turn"), F.lit(1)).otherwise(F.size("__w"))
-    d = d.withColumn("__at", F.when(F.size("__w") >= 2, at))
-    d = d.withColumn("last", F.get("__w", F.col("__at") - 1)).withColumn("first", F.get("__w", F.when(F.col("__turn"), F.col("__at")).otherwise(F.lit(0))))
-    d = d.withColumn("last", F.when((F.length("last") >= 2) & F.col("first").isNotNull(), F.col("last")))
-    table_ = F.create_map(*(x for f, rs in _roots().items() for x in (F.lit(f), F.array(*map(F.lit, rs)))))
-    d = d.withColumn("roots", F.coalesce(F.try_element_at(table_, F.col("first")), F.array("first")))
-    soft = F.translate(F.col("last"), "wczjyq", "vksiik")
-    bones = F.regexp_replace(F.concat(F.substring(soft, 1, 1), F.regexp_replace(F.substring(soft, F.lit(2), F.length(soft)), "[aeiouh]", "")), "(.)\\1+", "$1")
-    return d.withColumn("skeleton", bones).drop("__t", "__turn", "__w", "__at")
+    return df.withColumn("__p", parse(F.when(good, F.col(name)))).select("*", "__p.*").drop("__p")
 
 
 def firm_of(records: DataFrame, sources: DataFrame) -> DataFrame:
@@ -270,34 +314,40 @@ def firm_of(records: DataFrame, sources: DataFrame) -> DataFrame:
 def same_persons(people: DataFrame, group: str) -> DataFrame:
     """Pairs (a, b), a < b, of groups (leads) that are one person.
 
-    people: group, first, roots, last, skeleton, firm, line (phone), mail. Two names are variants if their first names
+    people: group, first, last, skeleton, starts, firm, line (phone), mail. Two names are variants if their first names
     share a root or differ by a slip, or one is the other's initial, and their surnames differ by at most a slip or two.
     Variants are one person if they share the firm, or a phone line or an address; an initial needs the latter.
     """
     # What a record of the group lacks, another of its records may tell.
     rest = people.groupBy(F.col(group).alias("__g")).agg(*(F.max(c).alias(f"__{c}") for c in ("firm", "line", "mail")))
     d = people.where("last IS NOT NULL").join(rest, F.col(group) == F.col("__g"))
-    d = d.select(group, "first", "roots", "last", "skeleton", *(F.coalesce(c, f"__{c}").alias(c) for c in ("firm", "line", "mail"))).distinct()
-    evidence = F.filter(F.array(
-        F.struct(F.lit("f").alias("e"), F.concat_ws("|", "firm", F.substring("first", 1, 1)).alias("v"), F.col("firm").isNotNull().alias("ok")),
-        F.struct(F.lit("l").alias("e"), F.col("line").alias("v"), F.col("line").isNotNull().alias("ok")),
-        F.struct(F.lit("m").alias("e"), F.col("mail").alias("v"), F.col("mail").isNotNull().alias("ok")),
-    ), lambda x: x["ok"])
-    # The root's initial also counts, so that nicknames with another first letter meet inside a firm.
-    rooted = F.transform("roots", lambda r: F.struct(F.lit("f").alias("e"), F.concat_ws("|", "firm", F.substring(r, 1, 1)).alias("v"), F.col("firm").isNotNull().alias("ok")))
-    forms = d.withColumn("x", F.explode(F.array_distinct(F.concat(evidence, F.filter(rooted, lambda x: x["ok"])))))
+    d = d.select(group, "first", "last", "skeleton", "starts", *(F.coalesce(c, f"__{c}").alias(c) for c in ("firm", "line", "mail"))).distinct()
+    # Initials of all roots count inside a firm, so that nicknames with another first letter meet.
+    firm = F.transform("starts", lambda x: F.struct(F.lit("f").alias("e"), F.concat_ws("|", "firm", x).alias("v")))
+    more = F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c[0]).alias("e"), F.col(c).alias("v"))) for c in ("line", "mail")))
+    forms = d.withColumn("x", F.explode(F.array_compact(F.concat(F.when(F.col("firm").isNotNull(), firm).otherwise(F.array()), more))))
     forms = forms.withColumn("k", F.explode(deletion_forms(F.col("skeleton"), 1)))
-    forms = forms.select(group, "first", "roots", "last", F.col("x.e").alias("e"), F.xxhash64("x.e", "x.v", "k").alias("key")).distinct()
-    a, b = (forms.select(F.col(group).alias(s), F.col("first").alias(f"f{s}"), F.col("roots").alias(f"r{s}"), F.col("last").alias(f"l{s}"), F.col("e").alias(f"e{s}"), "key") for s in "ab")
-    p = a.join(b, "key").where("a < b AND ea = eb")
-    known = list(_roots())
-    in_list = lambda c: F.col(c).isin(known)
-    slip = F.levenshtein("fa", "fb") <= F.when(F.least(F.length("fa"), F.length("fb")) >= 6, 3).when(F.least(F.length("fa"), F.length("fb")) >= 4, 2).otherwise(0)
-    near_root = F.exists("ra", lambda x: F.exists("rb", lambda y: (x == y) | ((F.levenshtein(x, y) <= 2) & (F.length(x) >= 5) & (F.length(y) >= 5) & ~(x.isin(known) & y.isin(known)))))
-    first = near_root | (slip & ~(in_list("fa") & in_list("fb")))
-    initial = ((F.length("fa") == 1) | (F.length("fb") == 1)) & (F.exists("ra", lambda x: F.exists("rb", lambda y: F.substring(x, 1, 1) == F.substring(y, 1, 1))) | (F.substring("fa", 1, 1) == F.substring("fb", 1, 1)))
-    last = F.levenshtein("la", "lb") <= F.when(F.least(F.length("la"), F.length("lb")) >= 6, 3).otherwise(1)
-    return p.where(last & (first | (initial & (F.col("ea") != "f")))).select("a", "b").distinct()
+    forms = written(forms.select(group, "first", "last", F.col("x.e").alias("e"), F.xxhash64("x.e", "x.v", "k").alias("key")).distinct())
+    a, b = (forms.select(F.col(group).alias(x), F.col("first").alias(f"f{x}"), F.col("last").alias(f"l{x}"), F.col("e").alias(f"e{x}"), "key") for x in "ab")
+    near = F.levenshtein("la", "lb") <= F.when(F.least(F.length("la"), F.length("lb")) >= 6, 3).otherwise(1)
+    p = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ea") == F.col("eb")) & near).select("a", "b", "fa", "fb", "ea").distinct()
+
+    @F.pandas_udf("int")
+    def first(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        memo: dict[tuple[str, str], int] = {}
+        for x, y in batches:
+            out = []
+            for k in zip(x, y):
+                v = memo.get(k)
+                if v is None:
+                    v = memo[k] = compatible(*k)
+                    if len(memo) > 500_000:
+                        memo.clear()
+                out.append(v)
+            yield pd.Series(out, dtype="int32")
+
+    p = p.withColumn("c", first("fa", "fb")).where((F.col("c") == 1) | ((F.col("c") == 2) & (F.col("ea") != "f")))
+    return p.select("a", "b").distinct()
 
 
 @query("p7_found")
