@@ -77,16 +77,19 @@ def decoded_path(url: Column) -> Column:
 
 def clean_url(url: Column) -> Column:
     """Canonical address without tracking parameters, the others sorted; NULL for addresses that lead to no content."""
-    c, h = canonical_url(url), host(url)
     pairs = F.filter(F.split(F.regexp_replace(part(url, 4), "^\\?", ""), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
-    path = decoded_path(c)
-    bad = (
-        h.rlike(LOCAL_HOST) | ~h.contains(".") | (h.rlike(IPV4) & h.rlike(PRIVATE_IP)) | path.rlike("(?:^|/)\\.\\.(?:/|$)") | path.contains("\\")
-        | path.rlike(SKIP_PATH) | path.rlike(ASSETS) | (F.size(pairs) > 8) | F.exists(pairs, lambda p: p.rlike(TRAPS))
-    )
-    query = F.array_join(F.array_sort(F.transform(pairs, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))), "&")
-    out = F.concat(F.substring_index(c, "?", 1), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(c.isNotNull() & ~bad & (F.length(out) <= 1500), out)
+
+    def cleaned(x: Column) -> Column:
+        h, path, q = x["h"], x["p"], x["q"]
+        bad = (
+            h.rlike(LOCAL_HOST) | ~h.contains(".") | (h.rlike(IPV4) & h.rlike(PRIVATE_IP)) | path.rlike("(?:^|/)\\.\\.(?:/|$)") | path.contains("\\")
+            | path.rlike(SKIP_PATH) | path.rlike(ASSETS) | (F.size(q) > 8) | F.exists(q, lambda p: p.rlike(TRAPS))
+        )
+        query = F.array_join(F.array_sort(F.transform(q, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))), "&")
+        out = F.concat(F.substring_index(x["c"], "?", 1), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+        return F.when(x["c"].isNotNull() & ~bad & (F.length(out) <= 1500), out)
+
+    return _bound({"c": canonical_url(url), "h": host(url), "p": decoded_path(url), "q": pairs}, cleaned)
 
 
 def site_key(url: Column) -> Column:
@@ -132,17 +135,26 @@ def in_scope(source_url: Column, approval_kind: Column, allowed_paths: Column, a
     return F.coalesce(here & ~path.rlike("(?:^|/)\\.\\.(?:/|$)") & ~path.contains("\\") & (home | below), F.lit(False))
 
 
+def _bound(columns: dict[str, Column], body) -> Column:
+    """Value of a function of named columns, each of them computed once per row."""
+    return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))), body), 0)
+
+
 def noise_reason(url: Column) -> Column:
     """Why an address is page chrome; NULL if it isn't."""
-    h, path = host(url), decoded_path(url)
-    out = F.when(h.rlike("https?$") | path.rlike("https?:?//"), "malformed link (URL pasted into another URL)")
-    for reason, domains in NOISE_HOSTS:
-        out = out.when(h.rlike("(?:^|\\.)(?:" + "|".join(d.replace(".", "\\.") for d in domains.split()) + ")$"), reason)
-    for reason, names in NOISE_SUBDOMAINS:
-        out = out.when(h.rlike("^[^.]*\\.[^.]*\\.") & h.rlike("^(?:(?:" + names.replace(" ", "|") + ")\\d*|[^.]*-cdn)\\."), reason)
-    for reason, pattern in NOISE_PATHS:
-        out = out.when(path.rlike(pattern), reason)
-    return out
+
+    def reason(x: Column) -> Column:
+        h, path = x["h"], x["p"]
+        out = F.when(h.rlike("https?$") | path.rlike("https?:?//"), "malformed link (URL pasted into another URL)")
+        for why, domains in NOISE_HOSTS:
+            out = out.when(h.rlike("(?:^|\\.)(?:" + "|".join(d.replace(".", "\\.") for d in domains.split()) + ")$"), why)
+        for why, names in NOISE_SUBDOMAINS:
+            out = out.when(h.rlike("^[^.]*\\.[^.]*\\.") & h.rlike("^(?:(?:" + names.replace(" ", "|") + ")\\d*|[^.]*-cdn)\\."), why)
+        for why, pattern in NOISE_PATHS:
+            out = out.when(path.rlike(pattern), why)
+        return out
+
+    return _bound({"h": host(url), "p": decoded_path(url)}, reason)
 
 
 def denied(url: Column, domains: Column) -> Column:
