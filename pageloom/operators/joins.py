@@ -36,8 +36,8 @@ def best_per_key(df: DataFrame, keys: list[str], order: list[Column], columns: l
 def first_match(rows: DataFrame, row_id: str, rules: DataFrame, on: list[str], condition: Column, order: list[str], columns: list[str]) -> DataFrame:
     """For every row the first rule (by ``order``) that shares the keys and meets the condition; no rule, no row."""
     met = rows.join(small(rules), on).where(condition)
-    pick = F.min(F.struct(*order, *columns)).alias("__r")
-    return met.groupBy(row_id).agg(pick).select(row_id, *(F.col(f"__r.{c}").alias(c) for c in columns))
+    pick = F.min(F.struct(F.struct(*order).alias("o"), F.struct(*columns).alias("v"))).alias("__r")
+    return met.groupBy(row_id).agg(pick).select(row_id, *(F.col(f"__r.v.{c}").alias(c) for c in columns))
 
 
 def shared_values(df: DataFrame, scope: list[str], value: str, row_id: str) -> DataFrame:

@@ -1 +1 @@
-"""sources of the engine."""
+"""Sources and sinks of the engine."""
