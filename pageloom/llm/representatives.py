@@ -22,7 +22,9 @@ CUT = "(?:…|\\.\\.\\.)\\s*$|^\\s*(?:…|\\.\\.\\.)"
 MASKED = "[*•█]{2,}|[…]|(?:^|[^\\p{L}])[Xx]{3,}(?:[^\\p{L}]|$)"
 STAND_INS = "(?i)^[\\s\\p{P}]*(?:n\\s*[./]?\\s*a|tbd|tba|tbc|none|null|nil|unknown|undefined|see (?:profile|site|notes|website)|to be (?:announced|confirmed|determined)|not (?:listed|given|available|known)|on request|call office|email hidden|hidden|tel|phone|email|x{2,}|various|vacant|pending|contact us)?[\\s\\p{P}]*$"
 AROUND_NAME = "(?i)\\([^)]*\\)|“[^”]*”|\"[^\"]*\"|\\b(?:dr|mr|mrs|ms|mx|prof|jr|sr|cpa|mba|phd|esq|ii|iii)\\b\\.?|^\\s*contact:"
-FULL_WORDS = "[\\p{L}'’-]*\\p{L}{2,}[\\p{L}'’-]*[^\\p{L}'’-]+[\\p{L}'’-]*\\p{L}{2,}"
+WORD = "\\p{L}[\\p{L}'’-]*\\p{L}"
+# Last, First with a written-out first name; SURNAME First; or first and last word written out.
+FULL_WORDS = f"^[^,]*{WORD}[^,]*,[^\\p{{L}}]*{WORD}|^[^\\p{{L}},]*\\p{{Lu}}{{3,}}[^\\p{{L}}'’,-]+{WORD}|^[^\\p{{L}},]*{WORD}[^,]*[^\\p{{L}}'’,-]{WORD}[^\\p{{L}}]*$"
 EMAIL = "^\\s*(?:mailto:)?[\\p{L}\\p{N}._%+'-]+@[\\p{L}\\p{N}-]+(?:\\.[\\p{L}\\p{N}-]+)*\\.\\p{L}{2,}\\s*$"
 EXTENSION = "(?i)\\s*(?:,|;)?\\s*(?:ext|extension|x|durchwahl)\\.?\\s*\\d+\\s*$"
 FAKE_PHONE = "^1?(?:0{7,}|1{10,}|9{10,}|1234567890|0123456789)$"
