@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.canonical_values import weighted_distance
+from pageloom.llm.canonical_values import deletions, weighted_distance
 from pageloom.llm.registry import query
 from pageloom.llm.representatives import AROUND_NAME, CUT, usable
 from pageloom.llm.template_residue import residue
@@ -85,23 +85,34 @@ class Companies:
             full, _, short = line.partition(": ")
             for w in (full, *short.split()):
                 self.kind[w] = full
-        self.long = [w for w in {v for v in self.kind.values()} if len(w) >= 5]
-        self.memo: dict[str, tuple[list[str], str]] = {}
+        self.near: dict[str, set[str]] = {}
+        for w in {v for v in self.kind.values() if len(v) >= 5}:
+            for x in deletions(w, 2):
+                self.near.setdefault(x, set()).add(w)
+        self.memo: dict[str, str | None] = {}
+
+    def kind_of(self, word: str) -> str | None:
+        """The kind word that a word is, or is a slip of; looked up by its own deletions, once per word."""
+        if word in self.memo:
+            return self.memo[word]
+        got = self.kind.get(word)
+        if got is None and 4 <= len(word) <= 14:
+            near = set().union(*(self.near.get(x, ()) for x in deletions(word, 2)))
+            got = min((w for w in near if abs(len(w) - len(word)) <= 2 and weighted_distance(word, w, 2) <= (1 if len(w) < 7 else 2)), default=None)
+        if len(self.memo) > 500_000:
+            self.memo.clear()
+        self.memo[word] = got
+        return got
 
     def parse(self, name: str) -> tuple[list[str], str]:
         """Core words in their order and the kind (sorted words, '' if the name has none)."""
-        got = self.memo.get(name)
-        if got is not None:
-            return got
         text = re.sub(r"\(\s*(?:formerly|ex|vormals|previously)\b.*$", " ", name.lower())
         text = re.sub(r"\bp\.?\s*o\.?\s*s\b\.?|\bpoint[\s_-]+of[\s_-]+sale\b", " pos ", re.sub(r"\bs\.\s?a\b\.?", " ", text))
         core, kinds = [], []
         for w in re.findall(r"[^\W_]+", text):
             if w in LEGAL:
                 continue
-            k = self.kind.get(w)
-            if k is None and len(w) >= 4:
-                k = next((x for x in self.long if abs(len(x) - len(w)) <= 2 and weighted_distance(w, x, 2) <= (1 if len(x) < 7 else 2)), None)
+            k = self.kind_of(w)
             if k is None:
                 core.append(w)
             else:
@@ -110,36 +121,36 @@ class Companies:
             kinds = [k for k in kinds if k not in ("point", "sale")] + ["pos"]
         if not core and kinds:
             core, kinds = kinds, []
-        got = core, " ".join(sorted(set(kinds)))
-        if len(self.memo) < 200_000:
-            self.memo[name] = got
-        return got
+        return core, " ".join(sorted(set(kinds)))
+
+
+def kinds_agree(a: Column, b: Column) -> Column:
+    """Equal kinds, or one missing or part of the other."""
+    return (a == b) | (a == "") | (b == "") | (F.size(F.array_except(F.split(a, " "), F.split(b, " "))) == 0) | (F.size(F.array_except(F.split(b, " "), F.split(a, " "))) == 0)
+
 
-    def same(self, a: str, b: str, most: float = 2.7) -> bool:
-        """Whether two names, known to belong to one source, mean one organisation."""
-        (ca, ka), (cb, kb) = self.parse(a), self.parse(b)
-        if not ca or not cb:
-            return False
-        for (c, k), (d, m) in (((ca, ka), (cb, kb)), ((cb, kb), (ca, ka))):
-            if len(c) == 1 and not k and 3 <= len(c[0]) <= 6 and len(d) >= 2:
-                written_out = "".join(w[0] for w in d) + "".join(w[0] for w in self.order(m))
-                if c[0] in (written_out, "".join(w[0] for w in d)):
-                    return True
-        if ka and kb and ka != kb and not (set(ka.split()) <= set(kb.split()) or set(kb.split()) <= set(ka.split())):
-            return False
-        if len(ca) == len(cb) and len(ca) > 1:
-            initial = [(len(x) == 1 and y[0] == x) or (len(y) == 1 and x[0] == y) for x, y in zip(ca, cb)]
-            if any(initial) and all(i or weighted_distance(x, y, 1.5) <= 1.5 for i, x, y in zip(initial, ca, cb)) and not all(initial):
-                return True
-        x, y = "".join(ca), "".join(cb)
-        most = most if min(len(x), len(y)) >= 10 else 1.5
-        return weighted_distance(x, y, most) <= most or (len(cb) == 2 and weighted_distance(x, cb[1] + cb[0], most) <= most)
-
-    @staticmethod
-    def order(kind: str) -> list[str]:
-        """Kind words in the order they are written."""
-        rank = {w: i for i, w in enumerate("business managed payroll insurance merchant pos agency services partners group".split())}
-        return sorted(kind.split(), key=lambda w: rank.get(w, 99)) if kind != "pos" else ["point", "of", "sale"]
+def starts_of(words: Column, kind: Column) -> Column:
+    """Sorted first letters of the core words and of the kind's words, as an acronym would have them."""
+    core = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+    own = F.when(kind == "pos", "pos").otherwise(F.array_join(F.transform(F.split(kind, " "), lambda w: F.substring(w, 1, 1)), ""))
+    return F.array_join(F.array_sort(F.split(F.concat(core, own), "")), "")
+
+
+def same_employer(a: str, b: str) -> Column:
+    """Whether two parsed names (structs of core, kind, words) of one source mean one organisation.
+
+    Cores may differ by a slip or two per word and by word order; an initial or an acronym may stand for the words.
+    """
+    c1, c2, w1, w2 = (F.col(x) for x in (f"{a}.core", f"{b}.core", f"{a}.words", f"{b}.words"))
+    k1, k2 = F.col(f"{a}.kind"), F.col(f"{b}.kind")
+    n = F.least(F.length(c1), F.length(c2))
+    most = F.when(n >= 14, 4).when(n >= 10, 3).otherwise(1)
+    turned = (F.size(w2) == 2) & (F.levenshtein(c1, F.concat(F.get(w2, 1), F.get(w2, 0))) <= most)
+    one = lambda x, y: (F.length(F.get(x, 0)) == 1) & (F.get(x, 0) == F.substring(F.get(y, 0), 1, 1)) & (F.levenshtein(F.get(x, 1), F.get(y, 1)) <= 2)
+    initial = (F.size(w1) == 2) & (F.size(w2) == 2) & (one(w1, w2) | one(w2, w1))
+    short = lambda w, k, c, v, m: (F.size(w) == 1) & (k == "") & F.length(c).between(3, 6) & (F.size(v) >= 2) & (F.array_join(F.array_sort(F.split(c, "")), "") == starts_of(v, m))
+    named = (c1 != "") & (c2 != "")
+    return named & (short(w1, k1, c1, w2, k2) | short(w2, k2, c2, w1, k1) | (kinds_agree(k1, k2) & ((F.levenshtein(c1, c2) <= most) | turned | initial)))
 
 
 def company_core(name: Column) -> Column:
@@ -172,7 +183,8 @@ def same_organisations(names: DataFrame, name: str) -> DataFrame:
     names: distinct names with ``site`` (letters of the host, may be NULL). NULL, empty and nameless values pair with
     nothing. A form is an equi-join key: cores by their deletion variants, initials and acronyms by themselves.
     """
-    d = names.where(F.col(name).isNotNull() & F.col(name).rlike("\\p{L}")).withColumn("p", company_core(F.col(name)))
+    d = names.where(F.col(name).isNotNull() & F.col(name).rlike("\\p{L}"))
+    d = d if "p" in d.columns else d.withColumn("p", company_core(F.col(name)))
     d = written(d.select(F.col(name).alias("n"), "site", "p.core", "p.kind", "p.words").where("core <> ''"))
     cores = d.select("core", "words").groupBy("core").agg(F.max("words").alias("words"))
     turned = F.when(F.size("words") == 2, F.concat(F.get("words", 1), F.get("words", 0)))
@@ -188,13 +200,11 @@ def same_organisations(names: DataFrame, name: str) -> DataFrame:
     cores2 = cores2.unionByName(cores.select(F.col("core").alias("c1"), F.col("core").alias("c2")))
     a = d.select(F.col("n").alias("a"), F.col("core").alias("c1"), F.col("kind").alias("k1"))
     b = d.select(F.col("n").alias("b"), F.col("core").alias("c2"), F.col("kind").alias("k2"))
-    kinds = (F.col("k1") == F.col("k2")) | (F.col("k1") == "") | (F.col("k2") == "") | F.array_contains(F.split("k1", " "), F.col("k2")) | F.array_contains(F.split("k2", " "), F.col("k1"))
+    kinds = kinds_agree(F.col("k1"), F.col("k2"))
     pairs = a.join(cores2, "c1").join(b, "c2").where(kinds & (F.col("a") < F.col("b"))).select("a", "b")
     # Initials and acronyms: a form of few letters means one organisation only where one site, or one core, has it.
-    starts = F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "")
-    kind_starts = F.when(F.col("kind") == "pos", "pos").otherwise(F.array_join(F.transform(F.split("kind", " "), lambda w: F.substring(w, 1, 1)), ""))
     full = d.where((F.size("words") == 2) & (F.length(F.get("words", 0)) > 1))
-    letters = F.array_join(F.array_sort(F.split(F.concat(starts, kind_starts), "")), "")
+    letters = starts_of(F.col("words"), F.col("kind"))
     acronyms = d.where((F.size("words") == 1) & (F.col("kind") == "") & F.length("core").between(3, 6) & (F.upper("n") == F.col("n")))
     acronyms = acronyms.select(F.col("n").alias("a"), F.col("site").alias("s1"), F.array_join(F.array_sort(F.split("core", "")), "").alias("key"))
     spelled = full.select(F.col("n").alias("b"), F.col("core").alias("c2"), F.col("site").alias("s2"), letters.alias("key"))
@@ -230,15 +240,32 @@ ROOT_OF = _roots()
 SOFT = str.maketrans("wczjyq", "vksiik")
 
 
+PLAIN_NAME = re.compile(r"[^\W\d_][^\W\d_]+ [^\W\d_][^\W\d_]+$")
+CAPS_NAME = re.compile(r"[A-Z]{3,}\b")
+AROUND = re.compile(AROUND_NAME)
+VOWELS, DOUBLED = re.compile("[aeiouh]"), re.compile(r"(.)\1+")
+
+
+def bones_of(last: str) -> str:
+    """Consonant skeleton of a surname: like-sounding letters alike, no vowels after the first letter, no doubles."""
+    soft = last.translate(SOFT)
+    return DOUBLED.sub(r"\1", soft[0] + VOWELS.sub("", soft[1:]))
+
+
 def fold(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     t = unicodedata.normalize("NFKD", text).lower().replace("ł", "l").replace("ø", "o").replace("đ", "d")
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
 def person_parts(name: str) -> tuple[str | None, str | None, str | None, list[str]]:
     """First name, surname, consonant skeleton of the surname and initials of the first name's roots."""
-    text = re.sub(AROUND_NAME, " ", name)
+    if PLAIN_NAME.match(name) and not CAPS_NAME.match(name):
+        first, last = fold(name).split()
+        return first, last, bones_of(last), sorted({first[0], *(r[0] for r in ROOT_OF.get(first, ()))})
+    text = AROUND.sub(" ", name)
     comma = "," in text and re.search(r",\s*[^\W\d_]", text)
     words = re.findall(r"[^\W_]+", fold(text))
     if len(words) < 2:
@@ -253,9 +280,7 @@ def person_parts(name: str) -> tuple[str | None, str | None, str | None, list[st
         last, first = words[-1], words[0]
     if len(last) < 2:
         return None, None, None, []
-    soft = last.translate(SOFT)
-    bones = re.sub(r"(.)\1+", r"\1", soft[0] + re.sub("[aeiouh]", "", soft[1:]))
-    return first, last, bones, sorted({first[0], *(r[0] for r in ROOT_OF.get(first, ()))})
+    return first, last, bones_of(last), sorted({first[0], *(r[0] for r in ROOT_OF.get(first, ()))})
 
 
 def compatible(a: str, b: str) -> int:
@@ -292,23 +317,22 @@ def person_names(df: DataFrame, name: str) -> DataFrame:
 
 
 def firm_of(records: DataFrame, sources: DataFrame) -> DataFrame:
-    """Records with ``firm``: letters of the address's domain, else of the company, else of the source's company.
+    """Records with the parsed company ``p``, their source's ``own_name`` and ``own``, and ``firm``: letters of the address's domain, else of the company, else of the source's company.
 
     A company's letters count as those of the most frequent company within one deletion, so single typos meet.
     """
     domain = F.regexp_replace(F.regexp_extract(F.lower("email"), "@(?:.*\\.)?([^.@]+)\\.[a-z]+$", 1), "[^a-z]", "")
     d = records.withColumn("mail", F.when(usable("email", F.col("email")), F.lower(F.trim("email")))).withColumn("domain", F.when(F.col("mail").isNotNull(), domain))
-    named = d.withColumn("core", company_core(F.col("company"))["core"])
-    named = named.join(small(sources.select("source_id", F.col("company").alias("source_company"))), "source_id", "left")
-    named = written(named)
+    own = sources.select("source_id", F.col("company").alias("own_name"), F.col("p").alias("own"))
+    named = written(d.withColumn("p", company_core(F.col("company"))).join(small(own), "source_id", "left").drop("email")).withColumn("core", F.col("p.core"))
     counts = named.where("core <> ''").groupBy("core").agg(F.count(F.lit(1)).alias("n"))
     rank = F.struct("n", "core")
     variants = counts.where(F.length("core") >= 8).select("core", "n", F.explode(deletion_forms(F.col("core"), 1)).alias("key"))
     best = variants.groupBy("key").agg(F.max(rank).alias("b"))
     canon = variants.join(best, "key").groupBy("core").agg(F.max("b")["core"].alias("canonical"))
     named = named.join(canon, "core", "left")
-    own = company_core(F.col("source_company"))["core"]
-    return named.withColumn("firm", F.coalesce(F.when(F.col("domain") != "", F.col("domain")), "canonical", F.when(F.col("core") != "", F.col("core")), F.when(own != "", own)))
+    given = [F.when(F.col(c) != "", F.col(c)) for c in ("domain", "canonical", "core", "own.core")]
+    return named.withColumn("firm", F.coalesce(*given))
 
 
 def same_persons(people: DataFrame, group: str) -> DataFrame:
@@ -354,23 +378,18 @@ def same_persons(people: DataFrame, group: str) -> DataFrame:
 def p7_found(spark, sf_dir):
     """Leads of one person, sources of one organisation, and records whose company is their source's."""
     sources = table(spark, sf_dir, "sources").select("source_id", "company", site_letters(F.col("url")).alias("site")).where(F.col("company").rlike("\\S"))
+    sources = written(sources.withColumn("p", company_core(F.col("company"))))
     records = table(spark, sf_dir, "records").select("record_id", "lead_id", "source_id", "name", "company", "email", "phone")
-    names = sources.groupBy("company").agg(F.max("site").alias("site"))
+    names = sources.groupBy("company").agg(F.max("site").alias("site"), F.first("p").alias("p"))
     pairs = same_organisations(names, "company")
     pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     s1, s2 = sources.select(F.col("source_id").alias("id_a"), F.col("company").alias("a")), sources.select(F.col("source_id").alias("id_b"), F.col("company").alias("b"))
     orgs = pairs.join(s1, "a").join(s2, "b").where("id_a < id_b").select(F.lit("org").alias("kind"), "id_a", "id_b").distinct()
 
-    both = records.where(F.col("company").rlike("\\S")).select("record_id", "source_id", "company")
-    both = both.join(small(sources.select("source_id", F.col("company").alias("own"))), "source_id").where("company <> own")
-
-    @F.pandas_udf("boolean")
-    def one(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        c = Companies()
-        for x, y in batches:
-            yield pd.Series([c.same(a, b) for a, b in zip(x, y)], dtype=bool)
-
-    employers = both.where(one("own", "company")).select(F.lit("employer").alias("kind"), F.col("source_id").alias("id_a"), F.col("record_id").alias("id_b"))
-    people = person_names(firm_of(records, sources), "name").withColumn("line", phone_line(F.col("phone")))
+    firms = firm_of(records, sources)
+    both = firms.where(F.col("own").isNotNull() & (F.col("company") != F.col("own_name")) & same_employer("own", "p"))
+    employers = both.select(F.lit("employer").alias("kind"), F.col("source_id").alias("id_a"), F.col("record_id").alias("id_b"))
+    people = person_names(firms.select("lead_id", "name", "phone", "mail", "firm"), "name").withColumn("line", phone_line(F.col("phone")))
+    people = written(people.drop("name", "phone"))
     persons = same_persons(people, "lead_id").select(F.lit("person").alias("kind"), F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     return persons.unionByName(orgs).unionByName(employers)
