@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.registry import query
-from pageloom.session import table, written
+from pageloom.session import spread, table, written
 
 # Characters that leave no trace on a page, and the pattern of an absolute address.
 INVISIBLE = "[\\u00ad\\u034f\\u061c\\u115f\\u17b4\\u180e\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2064\\ufe00-\\ufe0f\\ufeff]"
@@ -111,7 +111,7 @@ def collided(df: DataFrame, scope: list[str], text: str, row_id: str) -> DataFra
 @query("p3_found")
 def p3_found(spark, sf_dir):
     """Pairs (smallest url_id, other url_id) of one page of a campaign."""
-    urls = canonical_url(table(spark, sf_dir, "discovered_urls").select("campaign_id", "url_id", "url"), "url")
+    urls = canonical_url(spread(table(spark, sf_dir, "discovered_urls").select("campaign_id", "url_id", "url")), "url")
     got = copies_of_first(urls, ["campaign_id"], "canonical", "url_id")
     return got.select(F.col("first_id").alias("url_id_a"), F.col("url_id").alias("url_id_b"))
 
@@ -119,12 +119,12 @@ def p3_found(spark, sf_dir):
 @query("p3_pages")
 def p3_pages(spark, sf_dir):
     """One row per page of a campaign: its smallest url_id and the number of copies."""
-    urls = canonical_url(table(spark, sf_dir, "discovered_urls").select("campaign_id", "url_id", "url"), "url")
+    urls = canonical_url(spread(table(spark, sf_dir, "discovered_urls").select("campaign_id", "url_id", "url")), "url")
     return count_copies(urls, ["campaign_id"], "canonical", "url_id").select("campaign_id", F.col("first_id").alias("url_id"), "copies")
 
 
 @query("p3_collisions")
 def p3_collisions(spark, sf_dir):
     """Keys of 128 bits that stand for several pages."""
-    urls = canonical_url(table(spark, sf_dir, "discovered_urls").select("campaign_id", "url_id", "url"), "url")
+    urls = canonical_url(spread(table(spark, sf_dir, "discovered_urls").select("campaign_id", "url_id", "url")), "url")
     return collided(urls, ["campaign_id"], "canonical", "url_id").select("campaign_id", "texts")

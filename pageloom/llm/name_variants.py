@@ -22,7 +22,7 @@ from pageloom.llm.canonical_values import deletions, weighted_distance
 from pageloom.llm.registry import query
 from pageloom.llm.representatives import AROUND_NAME, CUT, usable
 from pageloom.llm.template_residue import residue
-from pageloom.session import small, table, written
+from pageloom.session import small, spread, table, written
 
 # Legal forms and other words that name no organisation, and kinds of firms with their short forms.
 LEGAL = set("llc inc incorporated corp corporation co company ltd limited plc gmbh sa ag bv nv kg ohg srl sarl spa oy ab as pty llp lp the and und et y of formerly".split())
@@ -190,6 +190,8 @@ def same_organisations(names: DataFrame, name: str) -> DataFrame:
     turned = F.when(F.size("words") == 2, F.concat(F.get("words", 1), F.get("words", 0)))
     forms = F.filter(F.array_distinct(F.array(F.col("core"), turned)), lambda x: x.isNotNull())
     k = cores.select("core", F.explode(forms).alias("form")).where(F.length("form") >= 4)
+    # Forms are small and their variants many: a fixed number of partitions keeps their making spread out.
+    k = k.repartition(int(k.sparkSession.conf.get("spark.sql.shuffle.partitions")), "form")
     long, short = k.where(F.length("form") >= 10), k.where(F.length("form") < 10)
     keys = long.select("core", "form", F.explode(deletion_forms(F.col("form"), 2)).alias("key")).unionByName(
         short.select("core", "form", F.explode(deletion_forms(F.col("form"), 1)).alias("key"))
@@ -383,7 +385,7 @@ def p7_found(spark, sf_dir):
     """Leads of one person, sources of one organisation, and records whose company is their source's."""
     sources = table(spark, sf_dir, "sources").select("source_id", "company", site_letters(F.col("url")).alias("site")).where(F.col("company").rlike("\\S"))
     sources = written(sources.withColumn("p", company_core(F.col("company"))))
-    records = table(spark, sf_dir, "records").select("record_id", "lead_id", "source_id", "name", "company", "email", "phone")
+    records = spread(table(spark, sf_dir, "records").select("record_id", "lead_id", "source_id", "name", "company", "email", "phone"))
     names = sources.groupBy("company").agg(F.max("site").alias("site"), F.first("p").alias("p"))
     pairs = same_organisations(names, "company")
     pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from pageloom.llm.registry import query
 from pageloom.llm.template_residue import _sql as residue_sql
 from pageloom.llm.template_residue import residue
-from pageloom.session import small, table
+from pageloom.session import small, spread, table
 
 # Marks of a cut or masked value, stand-ins for a missing one, what surrounds a name, a whole address.
 CUT = "(?:…|\\.\\.\\.)\\s*$|^\\s*(?:…|\\.\\.\\.)"
@@ -101,7 +101,7 @@ FIELDS = ("name", "email", "phone", "title")
 def trusted_records(spark, sf_dir) -> DataFrame:
     """Records with the approval kind of their source; a missing source is not trusted."""
     sources = table(spark, sf_dir, "sources").select("source_id", (F.col("approval_kind") == "operator").alias("trusted"))
-    records = table(spark, sf_dir, "records").select("lead_id", "record_id", "source_id", "extracted_at", *FIELDS)
+    records = spread(table(spark, sf_dir, "records").select("lead_id", "record_id", "source_id", "extracted_at", *FIELDS))
     return records.join(small(sources), "source_id", "left")
 
 

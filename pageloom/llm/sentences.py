@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.registry import query
-from pageloom.session import table
+from pageloom.session import spread, table
 
 MASK = ""
 # Terminators, quotation pairs, abbreviations by how they behave, months that follow ordinals.
@@ -146,4 +146,4 @@ def split_sentences(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 @query("p10_found")
 def p10_found(spark, sf_dir):
     """Every sentence of every document."""
-    return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "start_char", "end_char")
+    return split_sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "start_char", "end_char")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pageloom.llm.registry import query
-from pageloom.session import table, written
+from pageloom.session import spread, table, written
 
 TOKENIZER = os.environ.get("PAGELOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 UNIT = 1_000_000_000
@@ -103,7 +103,7 @@ def counted_documents(spark, sf_dir) -> DataFrame:
     """doc_id, source, tokens of the documents whose source has a target, written once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     docs = docs.join(table(spark, sf_dir, "mix_targets").select("source"), "source", "left_semi")
-    return written(docs.select("doc_id", "source", token_counts(docs, "text").alias("tokens")))
+    return written(spread(docs).select("doc_id", "source", token_counts(docs, "text").alias("tokens")))
 
 
 @query("p9_mix")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.registry import query
-from pageloom.session import table
+from pageloom.session import spread, table
 
 # What a placeholder may be called, and the patterns of residue, filler, failures, notices and scripts.
 SLOT = "[\\p{L}_][\\p{L}\\p{N}_ .:|'-]{0,40}"
@@ -117,10 +117,10 @@ def _sql(col: str) -> str:
 @query("p4_found", f"SELECT record_id, 'name' AS field_name FROM records WHERE {_sql('name')} UNION ALL SELECT record_id, 'evidence' FROM records WHERE {_sql('evidence')}")
 def p4_found(spark, sf_dir):
     """Names and evidence texts that hold residue instead of, or beside, content."""
-    return fields_with_residue(table(spark, sf_dir, "records"), "record_id", ["name", "evidence"])
+    return fields_with_residue(spread(table(spark, sf_dir, "records").select("record_id", "name", "evidence")), "record_id", ["name", "evidence"])
 
 
 @query("p4_clean", f"SELECT record_id FROM records WHERE NOT coalesce({_sql('name')}, false) AND NOT coalesce({_sql('evidence')}, false)")
 def p4_clean(spark, sf_dir):
     """Records that may be kept: neither field holds residue."""
-    return table(spark, sf_dir, "records").where(~residue(F.col("name")) & ~residue(F.col("evidence"))).select("record_id")
+    return spread(table(spark, sf_dir, "records").select("record_id", "name", "evidence")).where(~residue(F.col("name")) & ~residue(F.col("evidence"))).select("record_id")
