@@ -276,7 +276,7 @@ class Dictionary:
             for w in self.short.get(token, "").split():
                 if w in self.vocabulary.get(field, ()):
                     got[w] = 0.0
-            if 2 < len(token) <= self.longest + 3 and token.isalpha():
+            if 2 <= len(token) <= self.longest + 3 and token.isalpha() and token not in OPTIONAL:
                 known, near = 0.25 if got else 0.0, set()
                 for d in deletions(token, 3 if len(token) > 6 else 2 if len(token) > 4 else 1):
                     near.update(index.get(d, ()))
@@ -347,6 +347,8 @@ class Dictionary:
                 continue
             spare = sum(1 for i, t in enumerate(ts) if i not in used and t not in OPTIONAL and found[i] and min(found[i].values()) < 0.2)
             score = (len(need) - missing) - 0.9 * cost - 0.35 * spare
+            if score < 0.3:
+                continue
             rank = (score, self.frequency.get(ref_id, 0), -ref_id)
             if best is None or rank > best:
                 best = rank
