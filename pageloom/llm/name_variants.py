@@ -108,11 +108,18 @@ class Companies:
         """Core words in their order and the kind (sorted words, '' if the name has none)."""
         text = re.sub(r"\(\s*(?:formerly|ex|vormals|previously)\b.*$", " ", name.lower())
         text = re.sub(r"\bp\.?\s*o\.?\s*s\b\.?|\bpoint[\s_-]+of[\s_-]+sale\b", " pos ", re.sub(r"\bs\.\s?a\b\.?", " ", text))
-        core, kinds = [], []
-        for w in re.findall(r"[^\W_]+", text):
-            if w in LEGAL:
+        core, kinds, skip = [], [], 0
+        words = [w for w in re.findall(r"[^\W_]+", text) if w not in LEGAL]
+        for at, w in enumerate(words):
+            if at < skip:
                 continue
             k = self.kind_of(w)
+            if k == "point":
+                # The words after it may be slips of "of sale".
+                rest = words[at + 1 : at + 3]
+                n = next((i for i, x in enumerate(rest) if len(x) <= 6 and weighted_distance(x, "sale", 2) <= 2), None)
+                if n is not None and all(len(x) <= 3 for x in rest[:n]):
+                    k, skip = "pos", at + n + 2
             if k is None:
                 core.append(w)
             else:
@@ -216,7 +223,10 @@ def same_organisations(names: DataFrame, name: str) -> DataFrame:
     rewritten = full.select(F.col("n").alias("b"), F.col("core").alias("c2"), F.col("site").alias("s2"), F.concat_ws("|", F.substring(F.get("words", 0), 1, 1), F.get("words", 1), "kind").alias("key"))
     rarity = rewritten.groupBy("key").agg(F.count_distinct(F.substring("c2", 1, 3)).alias("meanings"))
     by_initial = initials.join(rewritten.join(rarity, "key"), "key").where((F.col("meanings") == 1) | (F.levenshtein("s1", "c2") <= 2) | (F.col("s1") == F.col("s2")))
-    more = by_letters.select("a", "b").unionByName(by_initial.select("a", "b"))
+    # On one site an initial or an acronym stands for any name of the site that starts with its letter.
+    brief = acronyms.select("a", F.col("s1").alias("site")).unionByName(initials.select("a", F.col("s1").alias("site"))).where("site <> ''")
+    by_site = brief.join(d.select(F.col("n").alias("b"), "site", "core"), "site").where(F.lower(F.substring("a", 1, 1)) == F.substring("core", 1, 1))
+    more = by_letters.select("a", "b").unionByName(by_initial.select("a", "b")).unionByName(by_site.select("a", "b"))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
     return pairs.unionByName(more).distinct()
 
@@ -326,14 +336,19 @@ def firm_of(records: DataFrame, sources: DataFrame) -> DataFrame:
     domain = F.regexp_replace(F.regexp_extract(F.lower("email"), "@(?:.*\\.)?([^.@]+)\\.[a-z]+$", 1), "[^a-z]", "")
     d = records.withColumn("mail", F.when(usable("email", F.col("email")), F.lower(F.trim("email")))).withColumn("domain", F.when(F.col("mail").isNotNull(), domain))
     own = sources.select("source_id", F.col("company").alias("own_name"), F.col("p").alias("own"))
-    named = written(d.withColumn("p", company_core(F.col("company"))).join(small(own), "source_id", "left").drop("email")).withColumn("core", F.col("p.core"))
+    named = written(d.withColumn("p", company_core(F.col("company"))).join(small(own), "source_id", "left").drop("email"))
+    named = named.withColumn("core", F.col("p.core"))
     counts = named.where("core <> ''").groupBy("core").agg(F.count(F.lit(1)).alias("n"))
     rank = F.struct("n", "core")
     variants = counts.where(F.length("core") >= 8).select("core", "n", F.explode(deletion_forms(F.col("core"), 1)).alias("key"))
     best = variants.groupBy("key").agg(F.max(rank).alias("b"))
-    canon = variants.join(best, "key").groupBy("core").agg(F.max("b")["core"].alias("canonical"))
-    named = named.join(canon, "core", "left")
-    given = [F.when(F.col(c) != "", F.col(c)) for c in ("domain", "canonical", "core", "own.core")]
+    canon = variants.join(best, "key").groupBy("core").agg(F.max("b").alias("c"))
+    canon = written(canon.select("core", F.col("c.core").alias("canonical"), F.col("c.n").alias("n")))
+    # Where a company is its source's, the more frequent of the two canonical cores counts.
+    owned = sources.select("source_id", F.col("p.core").alias("core")).join(canon, "core").select("source_id", F.col("canonical").alias("own_canonical"), F.col("n").alias("own_n"))
+    named = named.join(canon, "core", "left").join(small(owned), "source_id", "left")
+    own_too = F.coalesce(F.col("own_n") > F.coalesce("n", F.lit(0)), F.lit(False)) & ((F.col("company") == F.col("own_name")) | same_employer("own", "p"))
+    given = [F.when(F.col("domain") != "", F.col("domain")), F.when(own_too, F.col("own_canonical")), *(F.when(F.col(c) != "", F.col(c)) for c in ("canonical", "core", "own_canonical", "own.core"))]
     return named.withColumn("firm", F.coalesce(*given))
 
 
