@@ -69,20 +69,21 @@ def _mask() -> str:
         dots.append(f"(?=\\s?{second}\\.)(?<={BEFORE}{first}\\.)")
         goes_on = GOES_ON if second in ("UU", "д", "п") else "\\s*\\S"
         dots.append(f"(?={goes_on})(?<={BEFORE}{first}\\.\\s?{second}\\.)")
-    return "|".join([
+    return f"(?={ENDS})(?:" + "|".join([
         "[.!?](?=[\\p{Ll}\\p{N}_/])(?<=[\\p{L}\\p{N}_/@-].)",
         f"\\.(?:{'|'.join(dots)})",
         "…(?=\\s*\\p{Ll})",
         f"{ENDS}(?:{'|'.join(quoted)})",
         # Every terminator of a bullet line but the last belongs to the line.
         f"{ENDS}(?=[^\\n]*[\\p{{L}}\\p{{N}}])(?<=(?:^|\\n){MARKS}[^\\n]{{0,400}})",
-    ])
+    ]) + ")"
 
 
 def _boundary() -> str:
     """Zero-width places between two sentences of the masked text."""
     caseless, no_gap = "[\\p{Lo}&&[^\\u0e00-\\u0e7f\\u3040-\\u30ff\\u3400-\\u9fff]]", "。！？｡।॥؟۔"
-    return "|".join([
+    # One look at the character before rules most places out.
+    return f"(?<=[.!?…{no_gap}{CLOSE}\\n\\u0e00-\\u0e7f])(?:" + "|".join([
         f"(?=\\s)(?<=[.!?…][{CLOSE}]{{0,3}})",
         "(?=[\\p{Lu}“„«¿¡])(?<=[.!?][”»]{0,1})",
         f"(?<=[{no_gap}])(?![{no_gap}{CLOSE}.!?])",
@@ -96,7 +97,7 @@ def _boundary() -> str:
             f"(?<=(?:^|\\n){MARKS}[^\\n]{{0,1000}}\\n)",
         ]) + ")",
         "(?=[ \\t]+[\\u0e00-\\u0e7f])(?<=[\\u0e00-\\u0e7f])",
-    ])
+    ]) + ")"
 
 
 MASKED = _mask()
