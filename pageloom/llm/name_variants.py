@@ -204,13 +204,13 @@ def same_organisations(names: DataFrame, name: str) -> DataFrame:
         short.select("core", "form", F.explode(deletion_forms(F.col("form"), 1)).alias("key"))
     )
     left, right = keys.select(F.col("core").alias("c1"), F.col("form").alias("f1"), "key"), keys.where("core = form").select(F.col("core").alias("c2"), "key")
-    cores2 = left.join(right, "key").where((F.col("c1") != F.col("c2")) & (F.levenshtein("f1", "c2") <= 4)).select("c1", "c2").distinct()
+    cores2 = written(left.join(right, "key").where((F.col("c1") != F.col("c2")) & (F.levenshtein("f1", "c2") <= 4)).select("c1", "c2").distinct())
     cores2 = cores2.unionByName(cores2.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"))).distinct()
     cores2 = cores2.unionByName(cores.select(F.col("core").alias("c1"), F.col("core").alias("c2")))
     a = d.select(F.col("n").alias("a"), F.col("core").alias("c1"), F.col("kind").alias("k1"))
     b = d.select(F.col("n").alias("b"), F.col("core").alias("c2"), F.col("kind").alias("k2"))
     kinds = kinds_agree(F.col("k1"), F.col("k2"))
-    pairs = a.join(cores2, "c1").join(b, "c2").where(kinds & (F.col("a") < F.col("b"))).select("a", "b")
+    pairs = written(a.join(cores2, "c1").join(b, "c2").where(kinds & (F.col("a") < F.col("b"))).select("a", "b"))
     # Initials and acronyms: a form of few letters means one organisation only where one site, or one core, has it.
     full = d.where((F.size("words") == 2) & (F.length(F.get("words", 0)) > 1))
     letters = starts_of(F.col("words"), F.col("kind"))
@@ -402,15 +402,16 @@ def p7_found(spark, sf_dir):
     sources = written(sources.withColumn("p", company_core(F.col("company"))))
     records = spread(table(spark, sf_dir, "records").select("record_id", "lead_id", "source_id", "name", "company", "email", "phone"))
     names = sources.groupBy("company").agg(F.max("site").alias("site"), F.first("p").alias("p"))
-    pairs = same_organisations(names, "company")
+    pairs = written(same_organisations(names, "company"))
     pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     s1, s2 = sources.select(F.col("source_id").alias("id_a"), F.col("company").alias("a")), sources.select(F.col("source_id").alias("id_b"), F.col("company").alias("b"))
-    orgs = pairs.join(s1, "a").join(s2, "b").where("id_a < id_b").select(F.lit("org").alias("kind"), "id_a", "id_b").distinct()
+    # Each result is written on its own: one plan over all three would be replanned whole after every stage.
+    orgs = written(pairs.join(s1, "a").join(s2, "b").where("id_a < id_b").select(F.lit("org").alias("kind"), "id_a", "id_b").distinct())
 
     firms = firm_of(records, sources)
     both = firms.where(F.col("own").isNotNull() & (F.col("company") != F.col("own_name")) & same_employer("own", "p"))
-    employers = both.select(F.lit("employer").alias("kind"), F.col("source_id").alias("id_a"), F.col("record_id").alias("id_b"))
+    employers = written(both.select(F.lit("employer").alias("kind"), F.col("source_id").alias("id_a"), F.col("record_id").alias("id_b")))
     people = person_names(firms.select("lead_id", "name", "phone", "mail", "firm"), "name").withColumn("line", phone_line(F.col("phone")))
     people = written(people.drop("name", "phone"))
-    persons = same_persons(people, "lead_id").select(F.lit("person").alias("kind"), F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    persons = written(same_persons(people, "lead_id").select(F.lit("person").alias("kind"), F.col("a").alias("id_a"), F.col("b").alias("id_b")))
     return persons.unionByName(orgs).unionByName(employers)
