@@ -328,16 +328,20 @@ def person_names(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("__p", parse(F.when(good, F.col(name)))).select("*", "__p.*").drop("__p")
 
 
-def firm_of(records: DataFrame, sources: DataFrame) -> DataFrame:
-    """Records with the parsed company ``p``, their source's ``own_name`` and ``own``, and ``firm``: letters of the address's domain, else of the company, else of the source's company.
+def firm_of(records: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two frames: records with ``employed`` (their company is their source's) and ``differs`` (it is written otherwise);
+    and records with ``firm``: letters of the address's domain, else of the company, else of the source's company.
 
     A company's letters count as those of the most frequent company within one deletion, so single typos meet.
     """
     domain = F.regexp_replace(F.regexp_extract(F.lower("email"), "@(?:.*\\.)?([^.@]+)\\.[a-z]+$", 1), "[^a-z]", "")
     d = records.withColumn("mail", F.when(usable("email", F.col("email")), F.lower(F.trim("email")))).withColumn("domain", F.when(F.col("mail").isNotNull(), domain))
     own = sources.select("source_id", F.col("company").alias("own_name"), F.col("p").alias("own"))
-    named = written(d.withColumn("p", company_core(F.col("company"))).join(small(own), "source_id", "left").drop("email"))
-    named = named.withColumn("core", F.col("p.core"))
+    named = d.withColumn("p", company_core(F.col("company"))).join(small(own), "source_id", "left")
+    named = written(named.select(
+        "record_id", "lead_id", "source_id", "name", "phone", "mail", "domain", F.col("p.core").alias("core"), F.col("own.core").alias("own_core"), (F.col("company") != F.col("own_name")).alias("differs"),
+        F.coalesce(F.col("own").isNotNull() & ((F.col("company") == F.col("own_name")) | same_employer("own", "p")), F.lit(False)).alias("employed"),
+    ))
     counts = named.where("core <> ''").groupBy("core").agg(F.count(F.lit(1)).alias("n"))
     rank = F.struct("n", "core")
     variants = counts.where(F.length("core") >= 8).select("core", "n", F.explode(deletion_forms(F.col("core"), 1)).alias("key"))
@@ -346,10 +350,11 @@ def firm_of(records: DataFrame, sources: DataFrame) -> DataFrame:
     canon = written(canon.select("core", F.col("c.core").alias("canonical"), F.col("c.n").alias("n")))
     # Where a company is its source's, the more frequent of the two canonical cores counts.
     owned = sources.select("source_id", F.col("p.core").alias("core")).join(canon, "core").select("source_id", F.col("canonical").alias("own_canonical"), F.col("n").alias("own_n"))
+    known, named = named, named.select("lead_id", "source_id", "name", "phone", "mail", "domain", "core", "own_core", "employed")
     named = named.join(canon, "core", "left").join(small(owned), "source_id", "left")
-    own_too = F.coalesce(F.col("own_n") > F.coalesce("n", F.lit(0)), F.lit(False)) & ((F.col("company") == F.col("own_name")) | same_employer("own", "p"))
-    given = [F.when(F.col("domain") != "", F.col("domain")), F.when(own_too, F.col("own_canonical")), *(F.when(F.col(c) != "", F.col(c)) for c in ("canonical", "core", "own_canonical", "own.core"))]
-    return named.withColumn("firm", F.coalesce(*given))
+    own_too = F.coalesce(F.col("own_n") > F.coalesce("n", F.lit(0)), F.lit(False)) & F.col("employed")
+    given = [F.when(F.col("domain") != "", F.col("domain")), F.when(own_too, F.col("own_canonical")), *(F.when(F.col(c) != "", F.col(c)) for c in ("canonical", "core", "own_canonical", "own_core"))]
+    return known, named.withColumn("firm", F.coalesce(*given))
 
 
 def same_persons(people: DataFrame, group: str) -> DataFrame:
@@ -408,8 +413,8 @@ def p7_found(spark, sf_dir):
     # Each result is written on its own: one plan over all three would be replanned whole after every stage.
     orgs = written(pairs.join(s1, "a").join(s2, "b").where("id_a < id_b").select(F.lit("org").alias("kind"), "id_a", "id_b").distinct())
 
-    firms = firm_of(records, sources)
-    both = firms.where(F.col("own").isNotNull() & (F.col("company") != F.col("own_name")) & same_employer("own", "p"))
+    known, firms = firm_of(records, sources)
+    both = known.where("employed AND differs")
     employers = written(both.select(F.lit("employer").alias("kind"), F.col("source_id").alias("id_a"), F.col("record_id").alias("id_b")))
     people = person_names(firms.select("lead_id", "name", "phone", "mail", "firm"), "name").withColumn("line", phone_line(F.col("phone")))
     people = written(people.drop("name", "phone"))
