@@ -229,6 +229,20 @@ def test_leaks(spark):
     assert E.leaked(d, i.limit(0), "doc", "t", "item", "t").count() == 0
 
 
+def test_least_passages_with_few_specific_words():
+    build = lambda a, b, c, n: f"If {a} pays 3.5 per region and Yekaterina {b} pays 8.6 per form, decide whether the parked branch of {c} near the mill still earns {n} in June."
+    name = lambda n: "".join(random.Random(n).choice("bcdfgklmnprstvz") + random.Random(n * 7 + k).choice("aeiou") for k in range(4)).title()
+    items = [(n, [build(name(n * 9), name(n * 9 + 1), name(n * 9 + 2), n + 500)]) for n in range(300)]
+    ja = "古い港の事務所では毎朝七時に窓口を開けて集まった手紙を棚へ移し、午後には誰もいない倉庫の鍵を確かめてから帰る決まりが長く守られてきた。"
+    index = E.Index([*items, (900, [ja])])
+    part = f"pays 3.5 per region and Yekaterina {name(64)} pays 8.6 per"
+    got = lambda t: {i for i, _ in index.leaks(t)}
+    assert got(f"As seen before, {part} in full.") == {7} and got("As seen before, " + part.replace("region", "district") + " in full.") == {7}
+    assert got(f"As seen before, {part.replace(name(64), 'Otherhol')} in full.") == set()
+    assert got(build("Otherhol", name(64), "Elsehol", 77)) == set()
+    assert got("彼は言った。" + ja[4:50] + "と。") == {900} == got(ja.replace("手紙", "書類")) and got("古い港の事務所では毎朝八時に店を閉める。") == set()
+
+
 # ---- 9
 def test_mixing(spark):
     rng = random.Random(5)
