@@ -243,6 +243,21 @@ def test_least_passages_with_few_specific_words():
     assert got("彼は言った。" + ja[4:50] + "と。") == {900} == got(ja.replace("手紙", "書類")) and got("古い港の事務所では毎朝八時に店を閉める。") == set()
 
 
+def test_stock_needs_different_texts_without_the_rest(spark):
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).title()
+    says = lambda: f"Why did {name()} of {name()} ask {name()} for {rng.randint(100, 999)} cards after {name()} and {name()} had lost {name()} in {name()}."
+    common = "Parcels that nobody has fetched within a week go back to the depot by the next van."
+    first, second, twice = says(), says(), says()
+    items = [(1, first + " " + second), (2, twice), (3, twice), (4, says() + " " + common), *((n, says()) for n in range(5, 40))]
+    note = [name() for _ in range(150)]
+    docs = [(n, " ".join(note[:n] + [name()] + note[n + 1 :]) + ". " + first) for n in range(60)]
+    docs += [(n, " ".join(name() for _ in range(30)) + ". " + common) for n in range(100, 160)] + [(200, "So: " + twice)]
+    d, i = spark.createDataFrame(docs, "doc long, t string"), spark.createDataFrame(items, "item long, t string")
+    got = {(r.doc, r.item) for r in E.without_stock(E.leaked(d, i, "doc", "t", "item", "t"), len(docs), "doc", "item").collect()}
+    assert got == {(n, 1) for n in range(60)} | {(200, 2), (200, 3)}
+
+
 # ---- 9
 def test_mixing(spark):
     rng = random.Random(5)
