@@ -362,22 +362,21 @@ def same_persons(people: DataFrame, group: str) -> DataFrame:
 
     people: group, first, last, skeleton, starts, firm, line (phone), mail. Two names are variants if their first names
     share a root or differ by a slip, or one is the other's initial, and their surnames differ by at most a slip or two.
-    Variants are one person if they share the firm, or a phone line or an address; an initial needs the latter.
+    Variants are one person if they share the firm, or a phone line or an address; an initial needs the latter. All
+    rows of a group tell its firms, lines and addresses, also those without a surname.
     """
-    # What a record of the group lacks, another of its records may tell.
-    rest = people.groupBy(F.col(group).alias("__g")).agg(*(F.max(c).alias(f"__{c}") for c in ("firm", "line", "mail")))
-    d = people.where("last IS NOT NULL").join(rest, F.col(group) == F.col("__g"))
-    d = d.select(group, "first", "last", "skeleton", "starts", *(F.coalesce(c, f"__{c}").alias(c) for c in ("firm", "line", "mail"))).distinct()
-    # Only lines and addresses that several groups have can be evidence; the others make no forms.
-    for c in ("line", "mail"):
-        several = d.where(F.col(c).isNotNull()).groupBy(c).agg((F.min(group) < F.max(group)).alias(f"{c}s")).where(f"{c}s")
-        d = d.join(several, c, "left")
+    # Every firm, line and address of a group is evidence for each of its names, also from records without a whole name.
+    kinds = F.array(*(F.struct(F.lit(c[0]).alias("e"), F.col(c).alias("v")) for c in ("firm", "line", "mail")))
+    evidence = people.select(group, F.inline(kinds)).where("v IS NOT NULL").distinct()
+    # Only values that several groups have can be evidence; the others make no forms.
+    several = evidence.groupBy("e", "v").agg((F.min(group) < F.max(group)).alias("s")).where("s").select("e", "v")
+    evidence = evidence.join(several, ["e", "v"], "left_semi")
+    names = people.where("last IS NOT NULL").select(group, "first", "last", "skeleton", "starts").distinct()
     # Initials of all roots count inside a firm, so that nicknames with another first letter meet.
-    firm = F.transform("starts", lambda x: F.struct(F.lit("f").alias("e"), F.concat_ws("|", "firm", x).alias("v")))
-    more = F.array(*(F.when(F.col(f"{c}s"), F.struct(F.lit(c[0]).alias("e"), F.col(c).alias("v"))) for c in ("line", "mail")))
-    forms = d.withColumn("x", F.explode(F.array_compact(F.concat(F.when(F.col("firm").isNotNull(), firm).otherwise(F.array()), more))))
+    values = F.when(F.col("e") == "f", F.transform("starts", lambda x: F.concat_ws("|", "v", x))).otherwise(F.array("v"))
+    forms = names.join(evidence, group).withColumn("x", F.explode(values))
     forms = forms.withColumn("k", F.explode(deletion_forms(F.col("skeleton"), 1)))
-    forms = written(forms.select(group, "first", "last", F.col("x.e").alias("e"), F.xxhash64("x.e", "x.v", "k").alias("key")))
+    forms = written(forms.select(group, "first", "last", "e", F.xxhash64("e", "x", "k").alias("key")))
     a, b = (forms.select(F.col(group).alias(x), F.col("first").alias(f"f{x}"), F.col("last").alias(f"l{x}"), F.col("e").alias(f"e{x}"), "key") for x in "ab")
     near = F.levenshtein("la", "lb") <= F.when(F.least(F.length("la"), F.length("lb")) >= 6, 3).otherwise(1)
     p = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ea") == F.col("eb")) & near).select("a", "b", "fa", "fb", "ea").distinct()

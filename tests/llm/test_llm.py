@@ -193,6 +193,13 @@ def test_persons(spark):
     assert {(r.a, r.b) for r in V.same_persons(people, "g").collect()} == {(1, 2), (1, 5)}
 
 
+def test_all_evidence_of_a_lead_counts(spark):
+    rows = [(1, "Margaret Ballihek", "f", "p1", None), (1, None, "f", "p2", "m1"), (1, None, "h", "p3", "m2"), (2, "M. Ballihek", "g", "p2", None), (3, "M. Ballihek", "g", "p9", "m1"), (4, "Peggy Ballihek", "h", "p8", None), (5, "M. Ballihek", "k", "p7", "m7")]
+    people = V.person_names(spark.createDataFrame(rows, "g long, name string, firm string, line string, mail string"), "name")
+    assert {(1, 2), (1, 3), (1, 4)} <= {(r.a, r.b) for r in V.same_persons(people, "g").collect()}
+    assert not any(5 in (r.a, r.b) for r in V.same_persons(people, "g").collect())
+
+
 # ---- 8
 def test_myers_matches_brute_force():
     rng = random.Random(4)
