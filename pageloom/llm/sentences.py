@@ -2,9 +2,11 @@
 
 Terminators that end no sentence (decimals, addresses, initials, abbreviations, quoted speech, list marks) are
 replaced one for one by a private-use character, so every offset of the masked text is an offset of the original.
-The masked text is split at script-specific zero-width boundaries; sentences are cut from the original text, which
-restores whatever was masked. Offsets are prefix sums over blocks, linear in practice even for texts with a million
-sentences. Nothing is shuffled: one row in, its sentences out.
+Bullet lines and quotations, of whatever length, are found by one forward pass each: the text is cut around them and
+the terminators inside are masked, so no rule looks back over a bounded span. The masked text is split at
+script-specific zero-width boundaries; sentences are cut from the original text, which restores whatever was masked.
+Offsets are prefix sums over blocks, linear in practice even for texts with a million sentences. Nothing is shuffled:
+one row in, its sentences out.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ from pyspark.sql import functions as F
 from pageloom.llm.registry import query
 from pageloom.session import spread, table
 
-MASK = ""
+#: Private-use characters: a masked terminator, the end of a bullet line, and the cuts around spans.
+MASK, BREAK, OPEN, SHUT = "\ue000", "\ue001", "\ue002", "\ue003"
 # Terminators, quotation pairs, abbreviations by how they behave, months that follow ordinals.
-ENDS = "[.!?…。！？｡।॥؟۔]"
-QUOTES = (("“", "”"), ("„", "“"), ("«", "»"), ("‹", "›"), ("「", "」"), ("『", "』"))
+MARKS_OF_END = ".!?…。！？｡।॥؟۔"
+ENDS = f"[{MARKS_OF_END}]"
+QUOTES = (("„", "“”"), ("“", "”"), ("«", "»"), ("‹", "›"), ("「", "」"), ("『", "』"))
 #: Never the end of a sentence.
 TITLES = (
     "Mr Mrs Ms Mx Dr Drs Prof Sr Sra Srta Dra Jr St Ste Capt Gen Col Lt Sgt Maj Cmdr Rev Hon Pres Gov Sen Rep Messrs Mmes "
@@ -32,14 +36,17 @@ MIXED = "etc Inc Ltd Co Corp Cos Bros LLC PLC PhD Ph.D U.S U.K U.N E.U S.A S.L a
 #: Abbreviations of two written parts; the last two may also end a sentence.
 PAIRS = [x.split("_") for x in "z_B u_a d_h u_U o_ä i_A z_T s_o s_u v_a p_ex p_ej т_е т_ч и_о EE_UU т_д т_п".split()]
 MONTHS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert"
-MARKS = "[ \\t]{0,20}(?:[•◦▪‣·*–—-]|#{1,6}|\\d{1,3}[.)])[ \\t]{1,5}"
-SPACE = "[\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\u001c-\\u001f]"
+MARKS = "[ \\t]*+(?:[•◦▪‣·*–—-]|#{1,6}|\\d{1,3}[.)])[ \\t]++"
+SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CLOSE = "”»›’\\\")\\]」』"
 GOES_ON = "\\s+[\\p{Ll}$&(—–-]"
-BEFORE = "(?:^|[\\s(\\[“„«¿¡/,;:–—-]|\\p{Ll}\\p{Ll}[.!?])"
-#: Longest quotation that holds its terminators; a longer one is taken for a stray mark.
-QUOTE_SPAN = 600
-BLOCK = 128
+BEFORE = f"(?:^|[\\s{BREAK}(\\[“„«¿¡/,;:–—-]|\\p{{Ll}}\\p{{Ll}}[.!?])"
+#: A bullet line up to its last letter or number: the terminators inside belong to the line.
+LINE = f"(?<![^\\n{BREAK}]){MARKS}[^\\n{BREAK}]*[\\p{{L}}\\p{{N}}]"
+#: A bullet line with the line break that ends it.
+LINE_END = f"(?<![^\\n])({MARKS}[^\\n]*+)\\n"
+#: Pieces to a block of prefix sums.
+BLOCK = 64
 
 
 def _words(words: list[str]) -> str:
@@ -48,11 +55,6 @@ def _words(words: list[str]) -> str:
 
 def _mask() -> str:
     """One terminator that ends no sentence. Each rule starts with the terminator, so text between costs one test."""
-    quoted = []
-    for a, b in QUOTES:
-        inside = "[^„“”]" if a in "“„" else f"[^{a}{b}]"
-        # A terminator just before the closing mark ends the sentence if a blank and a capital follow.
-        quoted.append(f"(?!{b}\\s+\\p{{Lu}})(?={inside}{{0,{QUOTE_SPAN}}}{b})(?<={a}{inside}{{0,{QUOTE_SPAN}}}{ENDS})")
     dots = [
         "(?=\\.)",
         "(?=\\s*\\p{Ll})(?<=\\.\\.\\.)",
@@ -63,7 +65,6 @@ def _mask() -> str:
         f"(?=\\s+(?:{MONTHS})\\b)(?<=\\d\\.)",
         f"(?=[,;:)]|{GOES_ON})(?!\\s*\\n{MARKS})(?<={BEFORE}(?:{_words(MIXED)})\\.)",
         f"(?=\\s+(?:\\p{{Ll}}|\\p{{N}}|\\p{{Lu}}\\.))(?<={BEFORE}[гчв]\\.)",
-        "(?=[ \\t])(?<=(?:^|\\n)[ \\t]{0,20}\\d{1,3}\\.)",
     ]
     for first, second in PAIRS:
         dots.append(f"(?=\\s?{second}\\.)(?<={BEFORE}{first}\\.)")
@@ -73,9 +74,6 @@ def _mask() -> str:
         "[.!?](?=[\\p{Ll}\\p{N}_/])(?<=[\\p{L}\\p{N}_/@-].)",
         f"\\.(?:{'|'.join(dots)})",
         "…(?=\\s*\\p{Ll})",
-        f"{ENDS}(?:{'|'.join(quoted)})",
-        # Every terminator of a bullet line but the last belongs to the line.
-        f"{ENDS}(?=[^\\n]*[\\p{{L}}\\p{{N}}])(?<=(?:^|\\n){MARKS}[^\\n]{{0,400}})",
     ]) + ")"
 
 
@@ -83,7 +81,8 @@ def _boundary() -> str:
     """Zero-width places between two sentences of the masked text."""
     caseless, no_gap = "[\\p{Lo}&&[^\\u0e00-\\u0e7f\\u3040-\\u30ff\\u3400-\\u9fff]]", "。！？｡।॥؟۔"
     # One look at the character before rules most places out.
-    return f"(?<=[.!?…{no_gap}{CLOSE}\\n\\u0e00-\\u0e7f])(?:" + "|".join([
+    return f"(?<=[.!?…{no_gap}{CLOSE}\\n{BREAK}\\u0e00-\\u0e7f])(?:" + "|".join([
+        f"(?<={BREAK})",
         f"(?=\\s)(?<=[.!?…][{CLOSE}]{{0,3}})",
         "(?=[\\p{Lu}“„«¿¡])(?<=[.!?][”»]{0,1})",
         f"(?<=[{no_gap}])(?![{no_gap}{CLOSE}.!?])",
@@ -94,19 +93,37 @@ def _boundary() -> str:
             # in a script without case.
             f"(?=[ \\t]*[^\\s\\p{{Ll}}])(?<![,،、，][ \\t]{{0,3}}\\r?\\n)(?!(?<={caseless}[ \\t]{{0,3}}\\n)[ \\t]*{caseless})",
             f"(?={MARKS}\\S)",
-            f"(?<=(?:^|\\n){MARKS}[^\\n]{{0,1000}}\\n)",
         ]) + ")",
         "(?=[ \\t]+[\\u0e00-\\u0e7f])(?<=[\\u0e00-\\u0e7f])",
     ]) + ")"
 
 
+def _quotation() -> str:
+    """A quotation whose terminators end no sentence; one just before the closing mark does if a blank and a capital follow."""
+    out = []
+    for a, b in QUOTES:
+        inside = f"{a}[^{a}{b}]*"
+        out += [f"{inside}(?={ENDS}[{b}]\\s+\\p{{Lu}})", f"{inside}+[{b}]"]
+    return "|".join(out)
+
+
 MASKED = _mask()
 BOUNDARY = _boundary()
+QUOTATION = _quotation()
+
+
+def within(text: Column, pattern: str) -> Column:
+    """The text with every terminator inside a match of the pattern masked: cut around the matches, mask every other piece."""
+    pieces = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{SHUT}"), f"[{OPEN}{SHUT}]")
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.translate(p, MARKS_OF_END, MASK * len(MARKS_OF_END))).otherwise(p)), "")
 
 
 def masked(text: Column) -> Column:
-    """The text with every terminator that ends no sentence replaced by one private-use character."""
-    return F.regexp_replace(text, MASKED, MASK)
+    """The text with every terminator that ends no sentence replaced by one private-use character, bullet lines ending in BREAK."""
+    plain = F.translate(text, BREAK + OPEN + SHUT, MASK * 3)
+    lined = within(F.regexp_replace(plain, LINE_END, f"$1{BREAK}"), LINE)
+    quoted = F.when(F.translate(text, "".join(a for a, _ in QUOTES), "") != text, within(lined, QUOTATION)).otherwise(lined)
+    return F.regexp_replace(quoted, MASKED, MASK)
 
 
 def _starts(lengths: Column) -> Column:
@@ -135,8 +152,8 @@ def split_sentences(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     d = d.withColumn("__firsts", firsts).withColumn("__starts", starts)
     d = d.select("__id", "__text", F.posexplode(F.arrays_zip("__pieces", "__starts")).alias("__n", "__p"))
     piece, at = F.col("__p.__pieces"), F.col("__p.__starts")
-    left = F.regexp_replace(piece, f"^{SPACE}+", "")
-    body = F.regexp_replace(left, f"{SPACE}+$", "")
+    left = F.ltrim(piece, F.lit(SPACES + BREAK))
+    body = F.rtrim(left, F.lit(SPACES + BREAK))
     start = at + F.length(piece) - F.length(left)
     d = d.where(F.length(body) > 0).select(
         F.col("__id").alias(doc_id), start.cast("int").alias(out[0]), (start + F.length(body)).cast("int").alias(out[1]), "__text",
