@@ -41,10 +41,8 @@ SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2
 CLOSE = "”»›’\\\")\\]」』"
 GOES_ON = "\\s+[\\p{Ll}$&(—–-]"
 BEFORE = f"(?:^|[\\s{BREAK}(\\[“„«¿¡/,;:–—-]|\\p{{Ll}}\\p{{Ll}}[.!?])"
-#: A bullet line up to its last letter or number: the terminators inside belong to the line.
-LINE = f"(?<![^\\n{BREAK}]){MARKS}[^\\n{BREAK}]*[\\p{{L}}\\p{{N}}]"
-#: A bullet line with the line break that ends it.
-LINE_END = f"(?<![^\\n])({MARKS}[^\\n]*+)\\n"
+#: A bullet line: up to its last letter or number (the terminators inside belong to the line), the rest, the line break.
+LINE = f"(?<![^\\n])({MARKS}(?:[^\\n]*[\\p{{L}}\\p{{N}}])?)([^\\n]*+)\\n"
 #: Pieces to a block of prefix sums.
 BLOCK = 64
 
@@ -112,17 +110,18 @@ BOUNDARY = _boundary()
 QUOTATION = _quotation()
 
 
-def within(text: Column, pattern: str) -> Column:
-    """The text with every terminator inside a match of the pattern masked: cut around the matches, mask every other piece."""
-    pieces = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{SHUT}"), f"[{OPEN}{SHUT}]")
+def within(marked: Column) -> Column:
+    """The text without its cuts, every terminator between OPEN and SHUT masked."""
+    pieces = F.split(marked, f"[{OPEN}{SHUT}]")
     return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.translate(p, MARKS_OF_END, MASK * len(MARKS_OF_END))).otherwise(p)), "")
 
 
 def masked(text: Column) -> Column:
-    """The text with every terminator that ends no sentence replaced by one private-use character, bullet lines ending in BREAK."""
-    plain = F.translate(text, BREAK + OPEN + SHUT, MASK * 3)
-    lined = within(F.regexp_replace(plain, LINE_END, f"$1{BREAK}"), LINE)
-    quoted = F.when(F.translate(text, "".join(a for a, _ in QUOTES), "") != text, within(lined, QUOTATION)).otherwise(lined)
+    """The text with every terminator that ends no sentence replaced by one private-use character, bullet lines ending in
+    BREAK, and a line break after its end."""
+    plain = F.concat(F.translate(text, BREAK + OPEN + SHUT, MASK * 3), F.lit("\n"))
+    lined = within(F.regexp_replace(plain, LINE, f"{OPEN}$1{SHUT}$2{BREAK}"))
+    quoted = F.when(F.translate(text, "".join(a for a, _ in QUOTES), "") != text, within(F.regexp_replace(lined, QUOTATION, f"{OPEN}$0{SHUT}"))).otherwise(lined)
     return F.regexp_replace(quoted, MASKED, MASK)
 
 

@@ -231,7 +231,7 @@ def test_leaks(spark):
     ]
     d = spark.createDataFrame([x[:2] for x in docs], "doc long, t string")
     i = spark.createDataFrame(items, "item long, t string")
-    got = {(r.doc, r.item) for r in E.without_stock(E.leaked(d, i, "doc", "t", "item", "t"), 12, "doc", "item").collect()}
+    got = {(r.doc, r.item) for r in E.without_stock(E.leaked(d, i, "doc", "t", "item", "t"), "doc", "item").collect()}
     assert got == {(x[0], 4) for x in docs if x[2]}
     assert E.leaked(d, i.limit(0), "doc", "t", "item", "t").count() == 0
 
@@ -241,7 +241,7 @@ def test_least_passages_with_few_specific_words():
     name = lambda n: "".join(random.Random(n).choice("bcdfgklmnprstvz") + random.Random(n * 7 + k).choice("aeiou") for k in range(4)).title()
     items = [(n, [build(name(n * 9), name(n * 9 + 1), name(n * 9 + 2), n + 500)]) for n in range(300)]
     ja = "古い港の事務所では毎朝七時に窓口を開けて集まった手紙を棚へ移し、午後には誰もいない倉庫の鍵を確かめてから帰る決まりが長く守られてきた。"
-    index = E.Index([*items, (900, [ja])])
+    index = E.index_of([*items, (900, [ja])])
     part = f"pays 3.5 per region and Yekaterina {name(64)} pays 8.6 per"
     got = lambda t: {i for i, _ in index.leaks(t)}
     assert got(f"As seen before, {part} in full.") == {7} and got("As seen before, " + part.replace("region", "district") + " in full.") == {7}
@@ -261,10 +261,35 @@ def test_stock_needs_different_texts_without_the_rest(spark):
     docs = [(n, " ".join(note[:n] + [name()] + note[n + 1 :]) + ". " + first) for n in range(60)]
     docs += [(n, " ".join(name() for _ in range(30)) + ". " + common) for n in range(100, 160)] + [(200, "So: " + twice)]
     d, i = spark.createDataFrame(docs, "doc long, t string"), spark.createDataFrame(items, "item long, t string")
-    got = {(r.doc, r.item) for r in E.without_stock(E.leaked(d, i, "doc", "t", "item", "t"), len(docs), "doc", "item").collect()}
+    got = {(r.doc, r.item) for r in E.without_stock(E.leaked(d, i, "doc", "t", "item", "t"), "doc", "item").collect()}
     assert got == {(n, 1) for n in range(60)} | {(200, 2), (200, 3)}
 
 
+def test_blocks_and_twins_change_no_leak(spark, monkeypatch):
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).title()
+    says = lambda: f"Why did {name()} of {name()} ask {name()} for {rng.randint(100, 999)} cards after {name()} and {name()} had lost {name()} in {name()}."
+    one, twin, stock = says(), says() + " " + says(), "Calls may be recorded for training and to keep a fair account of what was agreed with us."
+    items = [(1, one), (2, twin), (3, twin), (4, None), (5, " "), (6, stock), *((n, f"{says()} {stock}") for n in range(7, 30))]
+    # One item stands whole in many documents, copies and others: no share of the documents makes it stock.
+    docs = [(n, f"{says()} {says()} {one} {says()}") for n in range(30)] + [(n, says()) for n in range(30, 300)] + [(400, twin), (401, f"{says()} {stock}"), (402, None)]
+    d, i = spark.createDataFrame(docs, "doc long, t string"), spark.createDataFrame(items, "item long, t string")
+    found = lambda: {(r.doc, r.item) for r in E.without_stock(E.leaked(d, i, "doc", "t", "item", "t"), "doc", "item").collect()}
+    want = {(n, 1) for n in range(30)} | {(400, 2), (400, 3), (401, 6)}
+    assert found() == want
+    monkeypatch.setattr(E, "BLOCK_TOKENS", 400)
+    assert found() == want
+
+
+def test_statistics_of_items_match_direct_counts(spark):
+    items = [(n, [f"The Boksem office of Zunra {n} has {n % 3} cards left for Ann Lee and the others to hand out by Friday at noon.", "Ask the desk in Kolkaser Bay if in doubt about it all please."][: 1 + n % 2]) for n in range(12)]
+    i = spark.createDataFrame([(n, " ".join(ss)) for n, ss in items], "item long, t string")
+    (mine, known), = E.block_indexes(E.item_sentences(i, "item", "t")[0])
+    want = E.index_of(items)
+    got = E.Index(mine, known)
+    assert got.pieces.keys() == want.pieces.keys() and got.idf == want.idf and got.specific == want.specific and got.names == want.names and got.shared_windows == want.shared_windows
+
+
 # ---- 9
 def test_mixing(spark):
     rng = random.Random(5)
@@ -300,6 +325,20 @@ def test_sentences(spark, text, want):
     assert [r.sentence for r in got] == want and all(text[r.start_char : r.end_char] == r.sentence for r in got)
 
 
+@pytest.mark.parametrize("n", [300, 900, 9_000])
+def test_quotations_and_bullet_lines_of_any_length(spark, n):
+    said = "We call. " * (n // 9)
+    text = f"She wrote: “{said}We end” on Monday. Then.\n- {said}End\n                         - deep. Mark\nLast. One"
+    got = S.split_sentences(spark.createDataFrame([(1, text)], "doc long, text string"), "doc", "text").orderBy("start_char").collect()
+    assert [r.sentence for r in got] == [f"She wrote: “{said}We end” on Monday.", "Then.", f"- {said}End", "- deep. Mark", "Last.", "One"]
+
+
+def test_private_characters_of_a_text_stay(spark):
+    text = "A\ue000b\ue001c. D\ue002e\ue003f."
+    got = S.split_sentences(spark.createDataFrame([(1, text)], "doc long, text string"), "doc", "text").orderBy("start_char").collect()
+    assert [r.sentence for r in got] == ["A\ue000b\ue001c.", "D\ue002e\ue003f."]
+
+
 def test_sentences_of_a_long_text(spark):
     text = "One two 😀 three. " * 5000
     got = S.split_sentences(spark.createDataFrame([(1, text)], "doc long, text string"), "doc", "text")
