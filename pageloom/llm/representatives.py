@@ -1,9 +1,9 @@
 """Best representative of each duplicate group: field by field, the usable value that trust and currency prefer.
 
 Every field is decided by one mergeable maximum per group, so the shuffle carries one row per group and map task and
-no group is ever gathered. Currency of undated values is reasoned from data: from the dated rows of all groups the
-precedence of values (a is followed by b more often than b by a) is learned, and an undated value is outdated if its
-group holds a value that the precedence or the dates place after it.
+no group is ever gathered. Currency of values is reasoned from data: from the dated rows of all groups the precedence of
+values (a is followed by b more often than b by a) is learned and closed over intermediate values that a group need not
+hold; an undated value is outdated if its group holds a value that the closed precedence places after it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from pageloom.llm.registry import query
 from pageloom.llm.template_residue import _sql as residue_sql
 from pageloom.llm.template_residue import residue
-from pageloom.session import small, spread, table
+from pageloom.session import small, spread, table, written
 
 # Marks of a cut or masked value, stand-ins for a missing one, what surrounds a name, a whole address.
 CUT = "(?:…|\\.\\.\\.)\\s*$|^\\s*(?:…|\\.\\.\\.)"
@@ -60,39 +60,74 @@ def best_values(df: DataFrame, group: str, row_id: str, fields: dict[str, Column
 SUPPORT = 3
 
 
-def learned_precedence(df: DataFrame, group: str, value: str, at: str) -> DataFrame:
-    """before, after: values that follow each other in this order at least SUPPORT times more often than reversed.
+def learned_precedence(values: DataFrame, keys: list[str], value: str, first: str, kind: str) -> DataFrame:
+    """kind, before, after: values that follow each other in this order at least SUPPORT times more often than reversed.
 
-    A group's values are first reduced to one row per distinct value (its first date), so the ordered pass per group
-    sees distinct values only.
+    values: one row per distinct value of a group (kind is one of keys), ``first``: its first date; undated ones are left
+    out, values of one date have no order. A group is ordered in two levels, inside its hours and over its hours, so
+    that a group with a third of all values is no single task.
     """
-    firsts = df.where(F.col(value).isNotNull() & F.col(at).isNotNull() & F.col(group).isNotNull()).groupBy(group, value).agg(F.min(at).alias("__at"))
-    w = Window.partitionBy(group).orderBy("__at", value)
-    steps = firsts.withColumn("before", F.lag(value).over(w)).where("before IS NOT NULL").select("before", F.col(value).alias("after"))
+    d = values.where(F.col(first).isNotNull()).select(*keys, F.col(value).alias("after"), F.col(first).alias("__at"), F.date_trunc("hour", first).alias("__h"))
+    here = F.struct(F.col("__at").alias("at"), F.col("after").alias("v"))
+    d = d.withColumn("__prev", F.lag(here).over(Window.partitionBy(*keys, "__h").orderBy("__at", "after")))
+    hours = d.groupBy(*keys, "__h").agg(F.max(here).alias("last"))
+    hours = hours.withColumn("__last", F.lag("last").over(Window.partitionBy(*keys).orderBy("__h"))).where("__last IS NOT NULL").select(*keys, "__h", "__last")
+    inner = d.where("__prev IS NOT NULL").select(*keys, "after", "__at", "__prev")
+    outer = d.where("__prev IS NULL").join(hours, [*keys, "__h"]).select(*keys, "after", "__at", F.col("__last").alias("__prev"))
+    steps = inner.unionByName(outer).where(F.col("__prev.at") < F.col("__at")).select(kind, F.col("__prev.v").alias("before"), "after")
     pair = F.struct(F.least("before", "after").alias("a"), F.greatest("before", "after").alias("b"))
-    net = steps.groupBy(pair.alias("p")).agg(F.sum(F.when(F.col("before") < F.col("after"), 1).otherwise(-1)).alias("n")).where(F.abs("n") >= SUPPORT)
+    net = steps.groupBy(kind, pair.alias("p")).agg(F.sum(F.when(F.col("before") < F.col("after"), 1).otherwise(-1)).alias("n")).where(F.abs("n") >= SUPPORT)
     up = F.col("n") > 0
-    return net.select(F.when(up, F.col("p.a")).otherwise(F.col("p.b")).alias("before"), F.when(up, F.col("p.b")).otherwise(F.col("p.a")).alias("after"))
+    return net.select(kind, F.when(up, F.col("p.a")).otherwise(F.col("p.b")).alias("before"), F.when(up, F.col("p.b")).otherwise(F.col("p.a")).alias("after"))
 
 
-def current_rows(df: DataFrame, group: str, row_id: str, value: str, at: str) -> DataFrame:
-    """group, row_id of the topologically latest value of every group that holds an undated value.
+def closed(edges: DataFrame, starts: DataFrame, kind: str) -> DataFrame:
+    """kind, before, after of all pairs that the edges connect over any number of steps, from the given ``before`` values on.
 
-    A value is superseded if its group holds a value that the learned precedence places after it, or that is dated
-    later. Among the values left the dated come first, then the largest row_id; if a cycle supersedes all, all stay.
+    Every round joins the newly found pairs with the edges and is written, until no pair is new; values that precede
+    each other (a cycle) have no order.
     """
-    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
-    values = rows.groupBy(group, value).agg(F.max(at).alias("__at"), F.max(row_id).alias("__id"), F.max(F.struct(at, row_id))[row_id].alias("__last"), F.max(F.col(at).isNull()).alias("__open"))
-    open_groups = values.where("__open").select(group).distinct()
-    values = values.join(open_groups, group, "left_semi")
-    order = learned_precedence(rows, group, value, at)
+    edges = written(edges)
+    found = fresh = written(edges.join(starts.distinct(), [kind, "before"], "left_semi"))
+    step = edges.select(kind, F.col("before").alias("after"), F.col("after").alias("__next"))
+    while fresh.head(1):
+        fresh = fresh.join(step, [kind, "after"]).select(kind, "before", F.col("__next").alias("after")).where("before <> after").distinct()
+        fresh = written(fresh.join(found, [kind, "before", "after"], "left_anti"))
+        found = found.unionByName(fresh)
+    back = found.select(kind, F.col("after").alias("before"), F.col("before").alias("after"))
+    return found.join(back, [kind, "before", "after"], "left_anti")
+
+
+def distinct_values(df: DataFrame, group: str, row_id: str, fields: dict[str, tuple[Column, Column]], trust: Column, at: str) -> DataFrame:
+    """group, field_name, value, first (its first date), open (whether a row of it is undated), best (trust, date and id of
+    its best row). fields: usability and comparable value by name; NULL groups and values that aren't usable are left out."""
+    best = F.struct(trust.cast("int").alias("t"), F.col(at).alias("at"), F.col(row_id).alias("id"))
+    parts = F.array(*(F.struct(F.lit(n).alias("field_name"), F.when(ok, v).alias("value")) for n, (ok, v) in fields.items()))
+    long = df.where(F.col(group).isNotNull()).select(group, F.col(at).alias("__at"), best.alias("__best"), F.inline(parts)).where(F.col("value").isNotNull())
+    return long.groupBy(group, "field_name", "value").agg(F.min("__at").alias("first"), F.max(F.col("__at").isNull()).alias("open"), F.max("__best").alias("best"))
+
+
+def current_rows(values: DataFrame, group: str, row_id: str) -> DataFrame:
+    """group, field_name, row_id of the topologically latest value of every group and field with an undated value.
+
+    values: as :func:`distinct_values` gives them. Trusted rows come first; a value is superseded if its group holds
+    a value that the closed precedence places after it; among the others the latest date (NULL is oldest), then the
+    largest row_id decides. If all are superseded, which a cycle can't cause, all stay.
+    """
+    key = [group, "field_name"]
+    values = written(values)
+    edges = learned_precedence(values, key, "value", "first", "field_name")
+    values = values.join(values.where("open").select(*key).distinct(), key, "left_semi")
+    several = values.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    mine = values.join(several, key, "left_semi").select(*key, "value")
+    order = closed(edges, mine.select("field_name", F.col("value").alias("before")), "field_name")
     beaten = (
-        values.select(group, F.col(value).alias("before")).join(order, "before")
-        .join(values.select(group, F.col(value).alias("after")), [group, "after"], "left_semi").select(group, F.col("before").alias(value)).distinct()
+        mine.withColumnRenamed("value", "before").join(order, ["field_name", "before"])
+        .join(mine.withColumnRenamed("value", "after"), [*key, "after"], "left_semi").select(*key, F.col("before").alias("value")).distinct()
     )
-    marked = values.join(beaten.withColumn("__beaten", F.lit(1)), [group, value], "left")
-    rank = F.struct(F.col("__beaten").isNull().cast("int").alias("free"), F.col("__at"), F.coalesce("__last", "__id").alias("id"))
-    return marked.groupBy(group).agg(F.max(rank).alias("__r")).select(group, F.col("__r.id").alias(row_id))
+    marked = values.join(beaten.withColumn("__beaten", F.lit(1)), [*key, "value"], "left")
+    rank = F.struct(F.col("best.t").alias("t"), F.col("__beaten").isNull().cast("int").alias("free"), F.col("best.at").alias("at"), F.col("best.id").alias("id"))
+    return marked.groupBy(*key).agg(F.max(rank).alias("__r")).select(group, "field_name", F.col("__r.id").alias(row_id))
 
 
 FIELDS = ("name", "email", "phone", "title")
@@ -131,9 +166,42 @@ def p2_found(spark, sf_dir):
     return best_values(trusted_records(spark, sf_dir), "lead_id", "record_id", {f: usable(f, F.col(f)) for f in FIELDS}, F.coalesce("trusted", F.lit(False)), "extracted_at")
 
 
-@query("p2_current_titles")
+def comparable(field: str) -> Column:
+    """Spelling by which values of a field are told apart."""
+    return F.regexp_replace(field, "[^0-9]", "") if field == "phone" else F.lower(F.trim(F.col(field)))
+
+
+def _values_sql(fields: tuple[str, ...]) -> str:
+    same = {f: f"regexp_replace({f}, '[^0-9]', '', 'g')" if f == "phone" else f"lower(trim({f}))" for f in fields}
+    return " UNION ALL ".join(f"SELECT lead_id, '{f}' AS field_name, {same[f]} AS v, extracted_at AS ts, coalesce(approval_kind, '') = 'operator' AS t, record_id AS id FROM r WHERE {_usable_sql(f)}" for f in fields)
+
+
+def _current_sql(fields: tuple[str, ...]) -> str:
+    return f"""WITH RECURSIVE r AS (SELECT r.*, s.approval_kind FROM records r LEFT JOIN sources s ON r.source_id = s.source_id),
+ l AS ({_values_sql(fields)}), d AS (SELECT lead_id, field_name, v, min(ts) AS f, bool_or(ts IS NULL) AS o FROM l GROUP BY 1, 2, 3),
+ st AS (SELECT field_name, v AS a, f, lag(v) OVER w AS b, lag(f) OVER w AS g FROM d WHERE f IS NOT NULL WINDOW w AS (PARTITION BY lead_id, field_name ORDER BY f, v)),
+ n AS (SELECT field_name, least(a, b) AS x, greatest(a, b) AS y, sum(CASE WHEN b < a THEN 1 ELSE -1 END) AS n FROM st WHERE g < f GROUP BY 1, 2, 3),
+ e AS (SELECT field_name, CASE WHEN n > 0 THEN x ELSE y END AS x, CASE WHEN n > 0 THEN y ELSE x END AS y FROM n WHERE abs(n) >= {SUPPORT}),
+ c AS (SELECT * FROM e UNION SELECT c.field_name, c.x, e.y FROM c JOIN e ON c.field_name = e.field_name AND c.y = e.x WHERE c.x <> e.y),
+ k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c z WHERE z.field_name = c.field_name AND z.x = c.y AND z.y = c.x)),
+ op AS (SELECT DISTINCT lead_id, field_name FROM d WHERE o),
+ be AS (SELECT DISTINCT p.lead_id, p.field_name, p.v FROM d p JOIN k ON k.field_name = p.field_name AND k.x = p.v JOIN d q ON q.lead_id = p.lead_id AND q.field_name = p.field_name AND q.v = k.y)
+ SELECT lead_id, field_name, id AS record_id FROM (SELECT l.*, row_number() OVER (PARTITION BY l.lead_id, l.field_name ORDER BY l.t DESC, (be.v IS NULL) DESC, l.ts DESC NULLS LAST, l.id DESC) AS r
+ FROM l JOIN op ON l.lead_id = op.lead_id AND l.field_name = op.field_name LEFT JOIN be ON be.lead_id = l.lead_id AND be.field_name = l.field_name AND be.v = l.v) WHERE r = 1"""
+
+
+def current_values(spark, sf_dir, fields: tuple[str, ...]) -> DataFrame:
+    used = {f: (usable(f, F.col(f)), comparable(f)) for f in fields}
+    return current_rows(distinct_values(trusted_records(spark, sf_dir), "lead_id", "record_id", used, F.coalesce("trusted", F.lit(False)), "extracted_at"), "lead_id", "record_id")
+
+
+@query("p2_current_values", _current_sql(FIELDS))
+def p2_current_values(spark, sf_dir):
+    """For leads and fields with undated values: the record of the value that currency reasoning holds for the latest."""
+    return current_values(spark, sf_dir, FIELDS)
+
+
+@query("p2_current_titles", _current_sql(("title",)))
 def p2_current_titles(spark, sf_dir):
-    """For leads with undated records: the record of the title that currency reasoning holds for the latest."""
-    rows = table(spark, sf_dir, "records").where(usable("title", F.col("title")))
-    rows = rows.select("lead_id", "record_id", F.lower(F.trim("title")).alias("title"), "extracted_at")
-    return current_rows(rows, "lead_id", "record_id", "title", "extracted_at")
+    """The same for titles alone."""
+    return current_values(spark, sf_dir, ("title",))
