@@ -1,6 +1,7 @@
 """Training-data operators against brute force on small fixtures, with nulls, blanks, ties, repeats and empty tables."""
 
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -94,11 +95,17 @@ def test_best_values_match_brute_force(spark):
 
 
 def test_currency_reasoning(spark):
-    d = [datetime(2025, 1, n) for n in range(1, 5)]
-    rows = [(g, g * 10 + n, v, d[n]) for g in range(5) for n, v in enumerate(["junior", "senior"])] + [(7, 71, "senior", None), (7, 72, "junior", None), (8, 81, None, None)]
+    day = [datetime(2025, 1, n) for n in range(1, 5)]
+    rows = [(g, g * 10 + n, v, day[n]) for g in range(5) for n, v in enumerate(["a", "b"])] + [(g, g * 10 + n, v, day[n]) for g in range(5, 9) for n, v in enumerate(["b", "c"])]
+    # x and y come in both orders, u, v and w in a circle.
+    rows += [(g, g * 10 + n, v, day[n]) for g in range(10, 16) for n, v in enumerate("xy" if g % 2 else "yx")]
+    rows += [(g, g * 10 + n, v, day[n]) for g in range(20, 32) for n, v in enumerate(["uv", "vw", "wu"][g % 3])]
+    rows += [(90, 901, "c", None), (90, 902, "a", None), (91, 911, "x", None), (91, 912, "y", None), (92, 921, "u", None), (92, 922, "v", None), (93, 931, None, None), (94, 941, "a", None), (94, 942, "a", day[0]), (None, 951, "a", None)]
     df = spark.createDataFrame(rows, "g long, id long, v string, at timestamp")
-    assert [(r.before, r.after) for r in R.learned_precedence(df, "g", "v", "at").collect()] == [("junior", "senior")]
-    assert {r.g: r.id for r in R.current_rows(df, "g", "id", "v", "at").collect()} == {7: 71}
+    values = R.distinct_values(df, "g", "id", {"f": (F.col("v").isNotNull(), F.col("v"))}, F.lit(False), "at")
+    assert {(r.before, r.after) for r in R.learned_precedence(values, ["g", "field_name"], "value", "first", "field_name").collect()} == {("a", "b"), ("b", "c"), ("u", "v"), ("v", "w"), ("w", "u")}
+    assert {r.g: r.id for r in R.current_rows(values, "g", "id").collect()} == {90: 901, 91: 912, 92: 922, 94: 942}
+    assert R.current_rows(values.limit(0), "g", "id").count() == 0
 
 
 # ---- 3
@@ -132,22 +139,51 @@ def test_batches_against_history(spark, tmp_path):
         (1, 5, 3, 13, "http://a.example/list?dept=x&page=2", "", True), (1, 5, 4, 14, "http://a.example/list?dept=x&page=3", "", False), (1, 5, 5, 15, "http://a.example/only-two", "", False), (1, 6, 0, 16, "http://a.example/only-two/index.html", "", True),
         (1, 6, 1, 17, "mailto:x@a.example", "", False), (1, 6, 2, 18, None, None, False), (1, 6, 3, 19, "http://", "", False), (1, 6, 4, 20, "http://", "", False),
     ]
-    h = I.exploded_keys(I.page_keys(spark.createDataFrame(old, "c long, url string, label string"), "url", "label"), ["c"])
-    b = I.exploded_keys(I.page_keys(spark.createDataFrame([x[:6] for x in new], "c long, run long, pos int, id long, url string, label string"), "url", "label"), ["c", "run", "pos", "id"])
-    runs = I.SortedRuns(spark, str(tmp_path / "runs"), "c", most_runs=1)
-    assert runs.known(b).count() == 0
+    keys = lambda rows, schema, columns: I.exploded_keys(I.page_keys(spark.createDataFrame(rows, schema), "url", "label"), "c", columns)
+    h = keys(old, "c long, url string, label string", [])
+    b = keys([x[:6] for x in new], "c long, run long, pos int, id long, url string, label string", ["run", "pos", "id"])
+    runs = I.SortedRuns(spark, str(tmp_path / "runs"))
+    first = {r.id for r in I.repeated(runs, b, "run", "pos", "id").collect()}
+    assert first < {x[3] for x in new if x[6]}
     runs.add(h)
-    known = runs.known(b)
-    got = {r.id for r in known.select("id").union(I.repeated_in_batches(b, "c", "run", "pos", "id")).collect()}
+    got = {r.id for r in I.repeated(runs, b, "run", "pos", "id").collect()}
     assert got == {x[3] for x in new if x[6]}
-    # Run by run gives the same as all at once, across a compaction.
-    step, seen = I.SortedRuns(spark, str(tmp_path / "step"), "c", most_runs=1), set()
-    step.add(h)
-    for run in (5, 6):
-        part = b.where(F.col("run") == run)
-        seen |= {r.id for r in step.known(part).select("id").union(I.repeated_in_batches(part, "c", "run", "pos", "id")).collect()}
-        step.add(part)
-    assert seen == got and len(step.runs) == 1
+    # Run by run gives the same as all at once; each step opens the history anew.
+    seen = set()
+    for part in (h, b.where("run = 5"), b.where("run = 6")):
+        store = I.SortedRuns(spark, str(tmp_path / "step"))
+        if "run" in part.columns:
+            seen |= {r.id for r in I.repeated(store, part, "run", "pos", "id").collect()}
+        store.add(part)
+    assert seen == got
+
+
+def test_runs_compact_prune_and_reopen(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "RANGE_KEYS", 40)
+    monkeypatch.setattr(I, "SAMPLED", 8)
+    url = lambda n: f"http://a.example/{n % 7}/page-{n:04d}"
+    keys = lambda ns, columns=(): I.exploded_keys(I.page_keys(spark.createDataFrame([(1, 9, n, n, url(n), "") for n in ns], "c long, run long, pos int, id long, url string, label string"), "url", "label"), "c", list(columns))
+    for step in range(5):
+        I.SortedRuns(spark, str(tmp_path / "s")).add(keys([*range(step * 60, step * 60 + 60)] * 2))
+    store = I.SortedRuns(spark, str(tmp_path / "s"))
+    assert sorted(r["tier"] for r in store.runs) == [0, 1] and store.bounds and store._read(store.runs).agg(F.sum("copies")).first()[0] == 600
+    assert sorted(x.name for x in (tmp_path / "s").iterdir() if x.name.startswith("run-")) == sorted(r["path"].rsplit("/", 1)[-1] for r in store.runs)
+    got = I.repeated(store, keys(range(295, 303), ["run", "pos", "id"]), "run", "pos", "id")
+    assert {r.id for r in got.collect()} == set(range(295, 300))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[range#\d+ (?:IN|INSET|=)|PartitionFilters: \[isnotnull\(range#\d+\), \(range#\d+ =", plan)
+
+
+def test_slips_of_both_sides_meet(spark, tmp_path):
+    rows = [("http://a.example/team/jhon-smith-office", "Office of John Smith"), ("http://a.example/team/ann-lee", "Ann Lee"), ("http://a.example/x/boksem-office", "Branch office")]
+    new = [("http://a.example/team/john-smithh-office", "Office of John Smith", True), ("http://a.example/team/anne-lee", "Anne Lee", False), ("http://a.example/x/boksen-office", "Branch office", False), ("http://a.example/team/jhn-smith-office", "", False)]
+    h = I.exploded_keys(I.page_keys(spark.createDataFrame([(1, *x) for x in rows], "c long, url string, label string"), "url", "label"), "c", [])
+    b = spark.createDataFrame([(1, 2, n, n, *x[:2]) for n, x in enumerate(new)], "c long, run long, pos int, id long, url string, label string")
+    b = I.exploded_keys(I.page_keys(b, "url", "label"), "c", ["run", "pos", "id"])
+    store = I.SortedRuns(spark, str(tmp_path / "s"))
+    store.add(h)
+    assert {r.id for r in I.repeated(store, b, "run", "pos", "id").collect()} == {n for n, x in enumerate(new) if x[2]}
+    assert I.repeated(store, b.limit(0), "run", "pos", "id").count() == 0
 
 
 # ---- 6
@@ -155,14 +191,22 @@ def test_caps_match_ranking(spark):
     rng = random.Random(3)
     rows = [(rng.choice([1, 2, None]), rng.choice(["a", "b", None]), n, rng.choice([1, 2, 3, None]), rng.choice([datetime(2025, 1, 1, h, m) for h in (1, 2) for m in (0, 1)])) for n in range(200)]
     df = spark.createDataFrame(rows, "c long, o string, id long, s int, at timestamp").withColumn("cap", F.when(F.col("c") == 1, 7).when(F.col("c").isNull(), 0))
-    got = {r.id for r in K.over_cap(df, ["c", "o"], "cap", [F.col("s"), F.date_trunc("hour", "at")], [F.desc_nulls_last("s"), F.desc_nulls_last("at"), F.asc("id")], "id").collect()}
+    got = {r.id for r in K.over_cap(df.withColumn("hour", F.date_trunc("hour", "at")), ["c", "o"], "cap", ["s", "hour", "at"], "id").collect()}
     want = set()
     for c, cap in ((1, 7), (None, 0)):
         for o in ("a", "b", None):
             g = sorted((r for r in rows if r[0] == c and r[1] == o), key=lambda r: (-(r[3] or 0), -r[4].timestamp(), r[2]))
             want |= {r[2] for r in g[cap:]}
     assert got == want
-    assert K.over_cap(df.limit(0), ["c"], "cap", [F.col("s")], [F.asc("id")], "id").count() == 0
+    assert K.over_cap(df.limit(0), ["c"], "cap", ["s"], "id").count() == 0
+
+
+def test_equal_qualities_are_split_by_id(spark, monkeypatch):
+    monkeypatch.setattr(K, "TIES", 16)
+    df = spark.range(1000).select(F.lit(1).alias("c"), F.lit(None).cast("int").alias("s"), F.lit(333).alias("cap"), F.col("id"))
+    assert {r.id for r in K.over_cap(df, ["c"], "cap", ["s"], "id").collect()} == set(range(333, 1000))
+    share = K.with_share_cap(df.drop("cap").withColumn("c", F.when(F.col("id") < 400, 1)), ["c"], 0.25)
+    assert {(r.c, r.cap) for r in share.select("c", "cap").distinct().collect()} == {(1, 100), (None, 150)}
 
 
 # ---- 7
