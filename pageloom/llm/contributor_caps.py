@@ -1,10 +1,11 @@
 """Capping records per dominant contributor with mergeable quality histograms.
 
 Per contributor a histogram of the quality is built with map-side combining (one row per bin, never one per
-record). The running count over the bins, best first, gives the cutoff bin of each cap: records of better bins are
-kept and records of worse bins are over the cap without being ranked. Only the records of the borderline bins go on
-to the next, finer binning, and the last borderline bins are ranked. No contributor's records meet in one task as a
-whole, whatever its share of the table.
+record). The running count over the bins, best first, gives one cutoff row for each contributor over its cap: the
+borderline bin and how many records of it may stay. One join with the cutoffs drops the records of better bins, marks
+those of worse bins as over the cap and leaves the borderline ones, narrow rows of fixed width that are written once
+and go on to the next, finer binning. The last bins hold at most TIES records each, by a split of the row ids, so that
+not even a contributor of equal qualities is ranked in one task.
 """
 
 from __future__ import annotations
@@ -14,39 +15,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pageloom.llm.registry import query
-from pageloom.session import table
+from pageloom.session import small, table, written
 
 
-def over_cap(df: DataFrame, contributor: list[str], cap: str, levels: list[Column], order: list[Column], row_id: str) -> DataFrame:
+#: Row ids to a last bin: the most records that are ranked together.
+TIES = 4096
+
+
+def over_cap(df: DataFrame, contributor: list[str], cap: str, levels: list[str], row_id: str) -> DataFrame:
     """Ids of the records beyond the first ``cap`` of their contributor; cap is a column, constant per contributor.
 
-    levels: binning columns, coarse to fine, such that sorting by (levels..., order) sorts the records; greater bins
-    come first. order: the full order, only used inside the last borderline bins. A NULL cap never cuts; a cap of 0
-    or less cuts every record; NULL contributors form one contributor; NULL bins come last; ties are settled by
-    ``order``; an empty table gives no row.
+    levels: quality columns, coarse to fine, of which greater values come first and NULL comes last; a level may be a
+    rounding of the next. Ties of all levels are settled by the smaller row_id, a unique integer. A NULL cap never
+    cuts; a cap of 0 or less cuts every record; NULL contributors form one contributor; an empty table gives no row.
     """
-    at, over = df.where(F.col(cap).isNotNull()).withColumn("__left", F.greatest(F.col(cap).cast("long"), F.lit(0).cast("long"))), None
-    keys = list(contributor)
-    for n, level in enumerate(levels):
-        bin_ = f"__bin{n}"
-        at = at.withColumn(bin_, level)
-        bins = at.groupBy(*keys, bin_).agg(F.count(F.lit(1)).alias("__n"), F.max("__left").alias("__cap"))
-        w = Window.partitionBy(*keys).orderBy(F.col(bin_).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-        bins = bins.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-        # Only bins at or beyond the cutoff are joined back; the bins kept whole drop out of the join.
-        bins = bins.where(F.col("__before") + F.col("__n") > F.col("__cap")).select(
-            *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(bin_).alias("__kb"),
-            F.greatest(F.col("__cap") - F.col("__before"), F.lit(0)).alias("__rest"),
-        )
-        on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col(bin_).eqNullSafe(F.col("__kb"))]
-        met = at.join(bins, on).drop("__kb", *(f"__k{i}" for i in range(len(keys))))
-        lost = met.where("__rest = 0").select(row_id)
+    who = [x for c in contributor for x in (F.col(c).isNull(), F.col(c))]
+    # (false, NULL) is below every (true, value); smaller ids come first.
+    bins = [F.struct(F.col(c).isNotNull(), F.col(c)) for c in levels] + [F.struct(F.lit(True), -F.floor(F.col(row_id) / TIES))]
+    at = df.where(F.col(cap).isNotNull()).select(
+        F.xxhash64(F.lit(1), *who).alias("h1"), F.xxhash64(F.lit(2), *who).alias("h2"), F.greatest(F.col(cap).cast("long"), F.lit(0).cast("long")).alias("left"),
+        F.col(row_id), *(b.alias(f"bin{n}") for n, b in enumerate(bins)),
+    )
+    over = None
+    for n in range(len(bins)):
+        counts = at.groupBy("h1", "h2", f"bin{n}").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("left"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("h1", "h2").orderBy(F.desc(f"bin{n}")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cut = counts.withColumn("before", before).where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("n") > F.col("left")))
+        cut = cut.select("h1", "h2", F.col(f"bin{n}").alias("at"), (F.col("left") - F.col("before")).alias("rest"))
+        rest = [f"bin{m}" for m in range(n + 1, len(bins))]
+        met = at.join(cut, ["h1", "h2"]).where(F.col(f"bin{n}") <= F.col("at"))
+        beyond = (F.col(f"bin{n}") < F.col("at")) | (F.col("rest") == 0)
+        met = written(met.select("h1", "h2", F.col("rest").alias("left"), row_id, *rest, beyond.alias("beyond")))
+        lost, at = met.where("beyond").select(row_id), met.where("NOT beyond").drop("beyond")
         over = lost if over is None else over.unionByName(lost)
-        at = met.where("__rest > 0").withColumn("__left", F.col("__rest")).drop("__rest")
-        keys = [*keys, bin_]
-    rank = Window.partitionBy(*keys).orderBy(*order)
-    last = at.withColumn("__rank", F.row_number().over(rank)).where("__rank > __left").select(row_id)
-    return over.unionByName(last) if over is not None else last
+    rank = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(row_id))
+    return over.unionByName(at.withColumn("rank", rank).where(F.col("rank") > F.col("left")).select(row_id))
+
+
+def with_share_cap(df: DataFrame, scope: list[str], share: float, out: str = "cap") -> DataFrame:
+    """Add the number of records that a contributor may have: the whole part of a share of all records of its scope."""
+    total = df.groupBy(*scope).agg(F.floor(F.count(F.lit(1)) * F.lit(share)).cast("long").alias(out))
+    keys = [F.col(f"__t.{c}") for c in scope]
+    d = df.alias("__d").join(small(total).alias("__t"), [F.col(f"__d.{c}").eqNullSafe(k) for c, k in zip(scope, keys)])
+    return d.select("__d.*", f"__t.{out}")
 
 
 #: Origin without case, blanks and punctuation at its ends.
@@ -75,11 +86,19 @@ def capped_urls(spark, sf_dir) -> DataFrame:
 
 @query("p6_found", f"SELECT url_id FROM ({RANKED}) WHERE r > cap")
 def p6_found(spark, sf_dir):
-    """Rows beyond their origin's share: bins by score, then by hour of last_seen, then ranked."""
-    return over_cap(
-        capped_urls(spark, sf_dir), ["campaign_id", "o"], "cap", [F.col("score"), F.date_trunc("hour", F.col("last_seen"))],
-        [F.col("score").desc_nulls_last(), F.col("last_seen").desc_nulls_last(), F.col("url_id")], "url_id",
-    )
+    """Rows beyond their origin's share: bins by score, then by hour of last_seen, then by last_seen, ties by url_id."""
+    urls = capped_urls(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "last_seen"))
+    return over_cap(urls, ["campaign_id", "o"], "cap", ["score", "hour", "last_seen"], "url_id")
+
+
+_SHARE = """SELECT *, row_number() OVER (PARTITION BY campaign_id, method ORDER BY score DESC NULLS LAST, url_id) AS r, count(*) OVER (PARTITION BY campaign_id) AS n FROM discovered_urls"""
+
+
+@query("p6_share_of_method", f"SELECT url_id FROM ({_SHARE}) WHERE r > floor(n * 0.25)")
+def p6_share_of_method(spark, sf_dir):
+    """Rows beyond a quarter of their campaign's rows for each method of discovery, lowest scores first."""
+    urls = with_share_cap(table(spark, sf_dir, "discovered_urls").select("url_id", "campaign_id", "method", "score"), ["campaign_id"], 0.25)
+    return over_cap(urls, ["campaign_id", "method"], "cap", ["score"], "url_id")
 
 
 @query("p6_shares", f"SELECT campaign_id, o AS origin_key, count(*) AS active, count(*) FILTER (WHERE r > cap) AS over FROM ({RANKED}) GROUP BY 1, 2 HAVING count(*) > max(cap)")
