@@ -1,156 +1,56 @@
-"""HTML to rows: a small tree over the standard parser, visible text, links, cards by selector, structured entities.
+"""HTML to rows: visible text, links, contact cards by selector, structured entities, candidate blocks, page profiles.
 
-Each function is an Arrow-batched map over pages: pages are parsed once, only flat rows leave the worker.
+Each function is an Arrow-batched map over pages: a page is parsed once, only flat rows leave the worker. What is made of
+the rows (inference, validation, sharing) are column expressions in :mod:`pageloom.functions.extraction`.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin
+from collections import Counter
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Elements without end tag, elements whose text is never shown, page chrome.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("script style noscript template".split())
-CHROME = set("nav header footer aside".split())
-BLOCK = set("p div li ul ol section article main td th tr table h1 h2 h3 h4 h5 h6 br dl dt dd address figure figcaption blockquote".split())
-
-
-class Node:
-    """An element with its children in document order; texts are plain strings."""
-
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-
-    def walk(self) -> Iterator[Node]:
-        """This element and all below it, in document order, without recursion."""
-        stack = [self]
-        while stack:
-            n = stack.pop()
-            yield n
-            stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
-
-    def hidden(self) -> bool:
-        style = (self.attrs.get("style") or "").replace(" ", "").lower()
-        return self.tag in UNSEEN or "hidden" in self.attrs or "display:none" in style or "visibility:hidden" in style
-
-    def text(self) -> str:
-        """Visible text with single blanks."""
-        out, stack = [], [self]
-        while stack:
-            n = stack.pop()
-            if isinstance(n, str):
-                out.append(n)
-            elif not n.hidden():
-                if n.tag in BLOCK:
-                    out.append(" ")
-                    stack.append(" ")
-                stack.extend(reversed(n.children))
-        return " ".join("".join(out).split())
-
-    def inside(self, tags: set[str]) -> bool:
-        n = self
-        while n is not None:
-            if n.tag in tags:
-                return True
-            n = n.parent
-        return False
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, dict(attrs), self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, dict(attrs), self.at))
-
-    def handle_endtag(self, tag):
-        n = self.at
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.at = n.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def tree(html: str | None) -> Node:
-    """The element tree of a page; an empty tree for NULL and broken input."""
-    b = _Builder()
-    try:
-        b.feed(html or "")
-        b.close()
-    except (AssertionError, ValueError):
-        pass
-    return b.root
-
-
-_SIMPLE = re.compile(r"([a-z][a-z0-9-]*|\*)?((?:[.#][\w-]+|\[[\w-]+(?:[\^*$~]?=(?:\"[^\"]*\"|'[^']*'|[^\]]*))?\])*)$", re.I)
-_PART = re.compile(r"[.#][\w-]+|\[[^\]]+\]")
-
-
-def selector(text: str):
-    """A predicate for a selector list of simple selectors and descendants; raises ValueError for anything else."""
-    choices = []
-    for alternative in text.split(","):
-        steps = []
-        for step in alternative.split():
-            m = _SIMPLE.match(step)
-            if not m or not (m[1] or m[2]):
-                raise ValueError(f"unsupported selector: {step}")
-            steps.append(((m[1] or "*").lower(), [_test(p) for p in _PART.findall(m[2])]))
-        if not steps:
-            raise ValueError("empty selector")
-        choices.append(steps)
-
-    def one(node: Node, step) -> bool:
-        tag, tests = step
-        return (tag == "*" or node.tag == tag) and all(t(node) for t in tests)
-
-    def match(node: Node) -> bool:
-        for steps in choices:
-            if not one(node, steps[-1]):
-                continue
-            n, k = node.parent, len(steps) - 2
-            while k >= 0 and n is not None:
-                if one(n, steps[k]):
-                    k -= 1
-                n = n.parent
-            if k < 0:
-                return True
-        return False
-
-    return match
-
-
-def _test(part: str):
-    if part[0] == ".":
-        return lambda n: part[1:] in (n.attrs.get("class") or "").split()
-    if part[0] == "#":
-        return lambda n: n.attrs.get("id") == part[1:]
-    name, op, value = re.match(r"\[([\w-]+)(?:([\^*$~]?=)(.*))?\]", part).groups()
-    value = (value or "").strip("\"'")
-    check = {
-        None: lambda v: True, "=": lambda v: v == value, "^=": lambda v: v.startswith(value), "$=": lambda v: v.endswith(value),
-        "*=": lambda v: value in v, "~=": lambda v: value in v.split(),
-    }[op]
-    return lambda n: name in n.attrs and check(n.attrs[name] or "")
+from pageloom.functions.dom import Node, select, selector, tree
+
+# Selectors of a card's parts, page chrome, limits of a page's links, cards and structured data.
+DEFAULT_RECIPE = {
+    "row": '[itemtype*="schema.org/Person"], .team-member, .team-card, .person-card, .staff-member, .agent-card, .sales-rep',
+    "name": '[itemprop="name"], .name, .person-name, .team-name, h2, h3',
+    "title": '[itemprop="jobTitle"], .role, .job-title, .title, h4',
+    "email": 'a[href^="mailto:" i]', "phone": 'a[href^="tel:" i]', "company": ".company", "evidence": "",
+}
+LINK_SELECTORS = {
+    "email": ('a[href^="mailto:"]', "a[href^='mailto:']", DEFAULT_RECIPE["email"]),
+    "phone": ('a[href^="tel:"]', "a[href^='tel:']", DEFAULT_RECIPE["phone"]),
+}
+STRUCTURED = {"engine": "structured-v1"}
+NO_CARD = frozenset(("header", "nav", "footer", "form"))
+CHROME = "header, footer, nav, [role=navigation], [role=contentinfo]"
+MOST_LINKS, MOST_CARDS, MOST_CONTEXT = 2000, 500, 600
+MOST_BLOCK, MOST_STRUCTURED, MOST_ITEMS, MOST_SCRIPTS = 65_536, 262_144, 100, 32
+SCHEMA_CONTEXTS = ("https://schema.org", "http://schema.org")
+CONTACT_SCHEMES = ("mailto:", "tel:")
+
+
+def mapped(pages: DataFrame, page_id: str, columns: list[str], schema: str, rows: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """Rows that a function makes of every page's columns, with the page's id (a long) in front; ``schema`` is that of the rows."""
+    full = f"{page_id} long, {schema}"
+    names = [x.split()[0] for x in re.split(r",\s*(?![^<]*>)", full)]
+    ints = {n: "int32" for n, x in zip(names, re.split(r",\s*(?![^<]*>)", full)) if x.split()[1] == "int"}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(row[0], *r) for row in pdf.itertuples(index=False, name=None) for r in rows(*row[1:])]
+            yield pd.DataFrame(got, columns=names).astype({page_id: "int64", **ints})
+
+    d = pages.select(F.col(page_id).cast("long").alias("__i"), *(F.col(c).alias(f"__{n}") for n, c in enumerate(columns)))
+    return d.mapInPandas(run, full)
 
 
 def page_text(html: Column) -> Column:
@@ -164,123 +64,243 @@ def page_text(html: Column) -> Column:
     return text(html)
 
 
-def links(pages: DataFrame, page_id: str, url: str, html: str, most: int = 2000) -> DataFrame:
-    """page_id, pos, url, label, context of the first links of every page, addresses resolved against the page's.
+def contact_text(node: Node, skip: Callable[[Node], bool] | None = None) -> str:
+    """Texts of an element with the targets of its mail and phone links beside them."""
+    parts = []
+    for x in node.strings(skip):
+        if isinstance(x, str):
+            parts.append(x)
+        elif x.tag == "a" and x.get("href").lower().startswith(CONTACT_SCHEMES):
+            parts.append(unquote(x.get("href").split(":", 1)[1].split("?", 1)[0]))
+    return " ".join(" ".join(parts).split())
 
-    Context is the text of the nearest small block outside the page's chrome; unresolvable addresses are left out.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for pid, base, h in zip(pdf["i"], pdf["u"], pdf["h"]):
-                pos = 0
-                for n in tree(h).walk():
-                    if n.tag != "a" or not n.attrs.get("href"):
-                        continue
-                    try:
-                        target = urljoin(base or "", n.attrs["href"].strip())
-                    except ValueError:
-                        continue
-                    context = ""
-                    block = n.parent
-                    if block is not None and not n.inside(CHROME):
-                        context = block.text()
-                    rows.append((pid, pos, target, n.text(), context if len(context) <= 600 else ""))
-                    pos += 1
-                    if pos >= most:
-                        break
-            yield pd.DataFrame(rows, columns=["i", "pos", "url", "label", "context"]).astype({"i": "int64", "pos": "int32"})
-
-    d = pages.select(F.col(page_id).cast("long").alias("i"), F.col(url).alias("u"), F.col(html).alias("h"))
-    return d.mapInPandas(run, "i long, pos int, url string, label string, context string").withColumnRenamed("i", page_id)
-
-
-def cards(pages: DataFrame, page_id: str, html: str, recipe: dict[str, str], most: int = 500) -> DataFrame:
-    """page_id, pos, name, title, email, phone, evidence of the elements that the recipe's ``row`` selector matches.
-
-    recipe: selectors of row, name and title. Addresses and numbers come from mailto: and tel: links of the card, else
-    from its text when it holds exactly one. Cards without name, hidden cards and chrome are left out.
-    """
-    checks = {k: selector(v) for k, v in recipe.items()}
-    mail, dial = re.compile(r"[\w.!#$%&'*+/=?^`{|}~-]+@[\w.-]+\.\w{2,}"), re.compile(r"\+?\d[\d ().-]{6,20}\d")
 
-    def pick(row: Node, what: str) -> str:
-        check = checks.get(what)
-        return next((n.text() for n in row.walk() if n is not row and check and check(n)), "")
+def links(pages: DataFrame, page_id: str, url: str, html: str, most: int = MOST_LINKS) -> DataFrame:
+    """page_id, pos, url, label, context, truncated of the first links of every page, addresses resolved against the page's.
 
-    def contact(row: Node, scheme: str, pattern: re.Pattern, text: str) -> str:
-        linked = [n.attrs["href"][len(scheme):].split("?")[0] for n in row.walk() if n.tag == "a" and (n.attrs.get("href") or "").lower().startswith(scheme)]
-        found = linked or pattern.findall(text)
-        return found[0].strip() if len(set(found)) == 1 else ""
+    Context is the text of the element around a link, if that is no page chrome and at most MOST_CONTEXT characters
+    long; it is made once per element. Unresolvable addresses are left out. ``truncated`` tells that a page has more links.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for pid, h in zip(pdf["i"], pdf["h"]):
-                pos = 0
-                for n in tree(h).walk():
-                    if not checks["row"](n) or n.hidden() or n.inside(CHROME):
-                        continue
-                    text, name = n.text(), pick(n, "name")
-                    if name:
-                        rows.append((pid, pos, name, pick(n, "title"), contact(n, "mailto:", mail, text).lower(), contact(n, "tel:", dial, text), text))
-                        pos += 1
-                        if pos >= most:
-                            break
-            yield pd.DataFrame(rows, columns=["i", "pos", "name", "title", "email", "phone", "evidence"]).astype({"i": "int64", "pos": "int32"})
-
-    d = pages.select(F.col(page_id).cast("long").alias("i"), F.col(html).alias("h"))
-    out = d.mapInPandas(run, "i long, pos int, name string, title string, email string, phone string, evidence string")
-    return out.withColumnRenamed("i", page_id)
-
-
-def _scalar(v) -> str:
-    v = v[0] if isinstance(v, list) and len(v) == 1 else v
-    if isinstance(v, dict):
-        v = v.get("name", "")
-    return str(v) if isinstance(v, (str, int, float)) else ""
-
-
-def _json_entities(node, depth: int = 0) -> Iterator[dict]:
-    if depth > 8:
-        return
-    if isinstance(node, list):
-        for x in node:
-            yield from _json_entities(x, depth + 1)
-    elif isinstance(node, dict):
-        if _scalar(node.get("@type", "")).lower() in ("person", "organization"):
-            yield {"type": _scalar(node["@type"]), **{k: _scalar(node.get(k, "")) for k in ("name", "jobTitle", "email", "telephone", "worksFor")}}
-        for v in node.values():
-            if isinstance(v, (list, dict)):
-                yield from _json_entities(v, depth + 1)
+    def rows(base: str | None, html: str | None) -> Iterator[tuple]:
+        anchors = select(tree(html), lambda n: n.tag == "a" and bool(n.get("href").strip()), most + 1)
+        contexts: dict[int, str] = {}
+        for pos, a in enumerate(anchors[:most]):
+            try:
+                target = urljoin(base or "", a.get("href").strip())
+            except ValueError:
+                continue
+            around = a.parent
+            if id(around) not in contexts:
+                chrome = any(p.tag in ("nav", "header", "footer", "aside") for p in (around, *around.up()))
+                # A long element is measured only as far as it takes to see that it is too long.
+                text = "" if chrome or sum(len(s) for s in around.children if isinstance(s, str)) > 4 * MOST_CONTEXT or len(around.children) > MOST_CONTEXT else around.text()
+                contexts[id(around)] = text if len(text) <= MOST_CONTEXT else ""
+            yield pos, target, a.text(), contexts[id(around)], len(anchors) > most
+
+    return mapped(pages, page_id, [url, html], "pos int, url string, label string, context string, truncated boolean", rows)
+
+
+# ------------------------------------------------------------------ cards
+def checked_recipe(recipe: dict) -> dict[str, str]:
+    """A recipe with the defaults for what it lacks; ValueError for unknown parts, empty row or name and bad selectors."""
+    if "engine" in recipe:
+        if recipe != STRUCTURED:
+            raise ValueError("unknown engine")
+        return dict(recipe)
+    unknown = set(recipe) - set(DEFAULT_RECIPE)
+    if unknown:
+        raise ValueError(f"unknown parts: {', '.join(sorted(unknown))}")
+    for part, text in recipe.items():
+        if not isinstance(text, str) or (part in ("row", "name") and not text.strip()):
+            raise ValueError(f"{part} must be a selector")
+        if text:
+            selector(text)
+    return {**DEFAULT_RECIPE, **recipe}
+
+
+def _target(node: Node) -> str:
+    """What a selected element says: the address of a mail or phone link, else its text."""
+    href = node.get("href")
+    return unquote(href.split(":", 1)[1].split("?", 1)[0]).strip() if href.lower().startswith(CONTACT_SCHEMES) else node.text()
+
+
+def card_rows(root: Node, recipe: dict[str, str], tests: dict) -> Iterator[tuple]:
+    """(pos, parts..., evidence, visible, names, boxed, name_cards, truncated) of the cards of a page."""
+    first = lambda n, part: next((c for c in n.walk() if c is not n and tests[part](c)), None) if tests.get(part) else None
+    said = lambda n, part: "" if (c := first(n, part)) is None else _target(c)
+    cards = select(root, tests["row"], MOST_CARDS + 1)
+    truncated = len(cards) > MOST_CARDS
+    named = Counter(said(c, "name")[:200].casefold() for c in cards)
+    for pos, card in enumerate(cards[:MOST_CARDS]):
+        parts = [said(card, p) for p in ("name", "title", "company", "email", "phone")]
+        proof = card if not tests.get("evidence") or tests["evidence"](card) else first(card, "evidence")
+        boxed = card.tag in NO_CARD or any(p.tag in NO_CARD for p in card.up())
+        names = {n.text() for n in select(card, tests["name"], 10)} - {""}
+        plain = "" if proof is None else " ".join(" ".join(s for s in proof.strings(lambda n: n.tag in NO_CARD) if isinstance(s, str)).split())
+        yield pos, *parts, None if proof is None else contact_text(proof), plain, len(names), boxed, None if truncated else named[parts[0][:200].casefold()], truncated
+
+
+CARD = "pos int, name string, title string, company string, email string, phone string, evidence string, visible string, names int, boxed boolean, name_cards long, truncated boolean"
+
+
+def recipe_tests(recipe: dict[str, str]) -> dict:
+    tests = {}
+    for part, text in recipe.items():
+        for kind, same in LINK_SELECTORS.items():
+            if text.strip() in same:
+                text = DEFAULT_RECIPE[kind]
+        tests[part] = selector(text) if text else None
+    return tests
+
+
+def raw_cards(pages: DataFrame, page_id: str, html: str, recipe: dict[str, str] | None = None) -> DataFrame:
+    """One row per element that the recipe's ``row`` selects: what its selectors say, the evidence text (NULL if the evidence
+    selector finds nothing), the visible text outside nested chrome, the number of names, whether the card lies in page
+    chrome, how many cards have its name, and whether the page has more than MOST_CARDS cards.
+
+    NULL pages have no card; a card without a part has an empty text there.
+    """
+    full = checked_recipe(recipe or {})
+    tests = recipe_tests(full)
+    return mapped(pages, page_id, [html], CARD, lambda h: card_rows(tree(h), full, tests))
+
+
+def page_lines(pages: DataFrame, page_id: str, html: str) -> DataFrame:
+    """page_id, whole and chrome: the contact text of the page and of its header, footer and navigation."""
+    chrome = selector(CHROME)
+
+    def rows(html: str | None) -> Iterator[tuple]:
+        root = tree(html)
+        yield contact_text(root), " ".join(contact_text(n) for n in select(root, chrome))
+
+    return mapped(pages, page_id, [html], "whole string, chrome string", rows)
+
+
+def structure(pages: DataFrame, page_id: str, html: str) -> DataFrame:
+    """page_id, shape (distinct tag and class pairs, sorted, one blank between) and elements of every page."""
+
+    def rows(html: str | None) -> Iterator[tuple]:
+        nodes = [n for n in tree(html).walk() if n.tag]
+        yield " ".join(sorted({".".join((n.tag, *sorted(set(n.get("class").split())))) for n in nodes})), len(nodes)
+
+    return mapped(pages, page_id, [html], "shape string, elements int", rows)
+
+
+# ------------------------------------------------------------------ structured data
+def scalar(value) -> str:
+    """A text, or the only text of a list, with single blanks; empty for anything else and for more than 300 characters."""
+    if isinstance(value, list):
+        value = value[0] if len(value) == 1 else None
+    return " ".join(value.split()) if isinstance(value, str) and len(value) <= 300 else ""
+
+
+def of_kind(value, *kinds: str) -> str | None:
+    """The kind that a type value names alone, as a bare word or a schema.org address."""
+    one = value if not isinstance(value, list) else value[0] if len(value) == 1 else None
+    return next((k for k in kinds if one in (k, f"https://schema.org/{k}", f"http://schema.org/{k}")), None)
+
+
+def entity(kind: str | None, props: dict, employer: str) -> tuple | None:
+    """(type, name, title, email, phone, company) of an entity's own properties, None if it has no usable name."""
+    name = scalar(props.get("name"))
+    if not kind or not name:
+        return None
+    if kind == "Organization":
+        return kind, name, "", "", "", name
+    if not 2 <= len(name.split()) <= 8 or len(name) > 100 or "@" in name:
+        return None
+    bare = lambda v, scheme: v[len(scheme):] if v.lower().startswith(scheme) else v
+    return kind, name, scalar(props.get("jobTitle")), bare(scalar(props.get("email")), "mailto:"), bare(scalar(props.get("telephone")), "tel:"), employer
+
+
+def json_entities(text: str) -> Iterator[tuple[str, tuple | None]]:
+    """(place, entity) of the top-level nodes and their graphs in a JSON-LD text with the schema.org context."""
+    data = json.loads(text)
+    only = lambda v: (v[0] if len(v) == 1 else None) if isinstance(v, list) else v
+
+    def one(node: dict) -> tuple | None:
+        firm = only(node.get("worksFor"))
+        employer = scalar(firm.get("name")) if isinstance(firm, dict) and of_kind(firm.get("@type"), "Organization") else ""
+        return entity(of_kind(node.get("@type"), "Person", "Organization"), node, employer)
+
+    for node in data if isinstance(data, list) else [data]:
+        context = node.get("@context", "") if isinstance(node, dict) else None
+        if not isinstance(context, str) or context.rstrip("/") not in SCHEMA_CONTEXTS:
+            continue
+        yield "", one(node)
+        graph = node.get("@graph")
+        for n, child in enumerate(graph if isinstance(graph, list) else ()):
+            if isinstance(child, dict) and "@context" not in child:
+                yield f".graph[{n}]", one(child)
+
+
+def microdata(scope: Node) -> dict:
+    """Type and own properties of an itemscope element; items inside it are values, their properties aren't its own."""
+    props: dict[str, list] = {}
+    stack = list(reversed(scope.elements()))
+    while stack:
+        n = stack.pop()
+        inner = "itemscope" in n.attrs
+        if names := n.get("itemprop").split():
+            if inner:
+                value = microdata(n)
+            elif n.tag == "meta":
+                value = n.get("content")
+            elif n.tag in ("a", "area", "link"):
+                value = n.get("href")
+            else:
+                value = n.get("content") or n.text()
+            for name in names:
+                props.setdefault(name, []).append(value)
+        if not inner:
+            stack.extend(reversed(n.elements()))
+    types = scope.get("itemtype").split()
+    return {"type": types[0] if len(types) == 1 else types, "properties": props}
+
+
+def _micro_entity(item: dict) -> tuple | None:
+    firm = (item["properties"].get("worksFor") or [None])
+    firm = firm[0] if len(firm) == 1 else None
+    employer = scalar(firm["properties"].get("name")) if isinstance(firm, dict) and of_kind(firm["type"], "Organization") else ""
+    return entity(of_kind(item["type"], "Person", "Organization"), item["properties"], employer)
+
+
+def entity_rows(html: str | None) -> Iterator[tuple]:
+    """(syntax, place, type, name, title, email, phone, company, truncated) of a page's entities, within the limits of a page."""
+    # Scripts are what holds JSON-LD, so this tree keeps them.
+    root = tree(html, seen=False)
+    scripts = [n for n in root.walk() if n.tag == "script" and n.get("type").lower() == "application/ld+json"]
+    found, used, visited, over = [], 0, 0, len(scripts) > MOST_SCRIPTS
+    for k, script in enumerate(scripts[:MOST_SCRIPTS]):
+        text = "".join(c for c in script.children if isinstance(c, str))
+        used += len(text)
+        if len(text) > MOST_BLOCK or used > MOST_STRUCTURED:
+            over = True
+            continue
+        try:
+            got = list(json_entities(text))
+        except (ValueError, RecursionError, AttributeError):
+            continue
+        found += [("json-ld", f"script[{k}]{place}", e) for place, e in got]
+    scopes = [n for n in root.walk() if "itemscope" in n.attrs]
+    over |= len(scopes) > 500
+    for k, scope in enumerate(scopes[:500]):
+        outer = any("itemscope" in p.attrs for p in scope.up())
+        if outer or not of_kind(scope.get("itemtype"), "Person", "Organization") or not scope.get("itemtype").startswith("http") or any("itemref" in n.attrs for n in scope.walk()):
+            continue
+        found.append(("microdata", f"itemscope[{k}]", _micro_entity(microdata(scope))))
+    over |= len(found) > MOST_ITEMS
+    for syntax, place, e in found[:MOST_ITEMS]:
+        if e:
+            yield syntax, place, *e, over
 
 
 def entities(pages: DataFrame, page_id: str, html: str) -> DataFrame:
-    """page_id, syntax, type, name, title, email, phone, employer of JSON-LD and Microdata persons and organisations."""
+    """page_id, syntax, place, type, name, title, email, phone, company, truncated of the persons and organisations that a page
+    declares in JSON-LD and Microdata.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for pid, h in zip(pdf["i"], pdf["h"]):
-                for n in tree(h).walk():
-                    if n.tag == "script" and (n.attrs.get("type") or "").lower() == "application/ld+json":
-                        try:
-                            data = json.loads("".join(c for c in n.children if isinstance(c, str)))
-                        except ValueError:
-                            continue
-                        rows += [(pid, "json-ld", e["type"], e["name"], e["jobTitle"], e["email"].removeprefix("mailto:"), e["telephone"], e["worksFor"]) for e in _json_entities(data)]
-                    kind = (n.attrs.get("itemtype") or "").rstrip("/").rsplit("/", 1)[-1]
-                    if "itemscope" in n.attrs and kind.lower() in ("person", "organization"):
-                        props: dict[str, str] = {}
-                        for c in n.walk():
-                            p = c.attrs.get("itemprop")
-                            if p and c is not n:
-                                value = c.attrs.get("content") or (c.attrs.get("href") or "").split(":", 1)[-1] if c.tag in ("meta", "a", "link") else c.text()
-                                props.setdefault(p, value or c.text())
-                        rows.append((pid, "microdata", kind, props.get("name", ""), props.get("jobTitle", ""), props.get("email", ""), props.get("telephone", ""), props.get("worksFor", "")))
-            yield pd.DataFrame(rows, columns=["i", "syntax", "type", "name", "title", "email", "phone", "employer"]).astype({"i": "int64"})
-
-    d = pages.select(F.col(page_id).cast("long").alias("i"), F.col(html).alias("h"))
-    out = d.mapInPandas(run, "i long, syntax string, type string, name string, title string, email string, phone string, employer string")
-    return out.withColumnRenamed("i", page_id)
+    Only an entity's own properties count; a value that is no text or several is empty; an employer is the name of one
+    organisation under worksFor; broken JSON and pages without entities give no row.
+    """
+    return mapped(pages, page_id, [html], "syntax string, place string, type string, name string, title string, email string, phone string, company string, truncated boolean", entity_rows)

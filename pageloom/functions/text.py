@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,9 +24,27 @@ SALES_ROLE = (
     ".{0,25}(?:consultant|agent|advisor|broker|specialist)|independent (?:agent|rep)|\\breseller\\b|\\bISO\\b"
 )
 EMAIL = "(?i)[A-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Z0-9.-]+\\.[A-Z]{2,}"
-PHONE = "\\+\\d[\\d ().-]{6,20}\\d|\\(?\\d{3}\\)?[ .-]\\d{3}[ .-]\\d{4}"
+NUMBER = "(?:\\+\\d[\\d ().-]{6,20}\\d|\\(?\\d{3}\\)?[ .-]\\d{3}[ .-]\\d{4})"
+#: A number between characters that are no letters or digits.
+PHONE = f"(?<![\\p{{L}}\\p{{N}}_]){NUMBER}(?![\\p{{L}}\\p{{N}}_])"
 SEQUENTIAL = ("1234567890", "0123456789", "9876543210", "1234567", "12345678", "123456789")
 GENERIC_LOCALS = ("info", "sales", "contact", "hello", "support", "office", "admin", "team", "enquiries", "inquiries")
+# Reserved hosts, mail domains and mailboxes of templates, file endings, names of templates.
+RESERVED_HOSTS = ("example.com", "example.org", "example.net")
+RESERVED_SUFFIXES = (".example", ".test", ".invalid", ".localhost", ".local")
+PLACEHOLDER_DOMAINS = (
+    "domain.com", "yourdomain.com", "yoursite.com", "yourcompany.com", "yourwebsite.com", "mydomain.com", "mysite.com", "company.com", "website.com",
+    "sample.com", "email.com", "test.com", "wixpress.com", "sentry.io", "sentry-cdn.com",
+)
+PLACEHOLDER_LOCALS = (
+    "yourname", "your.name", "your_name", "name", "email", "youremail", "your.email", "user", "username", "john.doe", "johndoe", "jane.doe", "janedoe",
+    "firstname.lastname", "first.last", "firstlast", "someone", "example", "test", "noreply", "no-reply", "donotreply", "do-not-reply",
+)
+FILE_ENDINGS = ("png", "jpg", "jpeg", "gif", "svg", "webp", "avif", "bmp", "ico", "tif", "tiff", "css", "js", "pdf")
+PLACEHOLDER_NAME = (
+    "(?i)^(?:john|jane)\\s+doe$|^(?:your|full|first|last|member|staff|employee|agent|person|sample|team|contact|user|person's)\\s+(?:name|member)$"
+    "|^first\\s*name\\s+last\\s*name$|^name\\s+(?:surname|lastname|last name)$|^lorem\\s+ipsum|^(?:test|demo)\\s+(?:user|person|name)$|^first\\s+last$"
+)
 
 
 def normalize(text: Column) -> Column:
@@ -80,11 +100,39 @@ def usable_contact(kind: str, value: Column) -> Column:
     return F.length(digits(value)).between(7, 15)
 
 
-def placeholder_phone(value: Column) -> Column:
-    """Why a number is a template value, or the empty text."""
+def reserved_host(host: Column) -> Column:
+    """Whether a host is reserved for examples and tests, or lies below one that is; NULL and empty hosts are not."""
+    h = F.regexp_replace(F.lower(F.coalesce(host, F.lit(""))), "\\.+$", "")
+    below = reduce(or_, (F.endswith(h, F.lit(s)) for s in (*("." + x for x in RESERVED_HOSTS), *RESERVED_SUFFIXES)))
+    return h.isin(*RESERVED_HOSTS) | below
+
+
+def real_host(host: Column) -> Column:
+    """Whether a host is there and not reserved."""
+    return (F.coalesce(host, F.lit("")) != "") & ~reserved_host(host)
+
+
+def placeholder_email(value: Column, real: Column | None = None) -> Column:
+    """Why an address is a template value, or the empty text; reserved domains only count on a real site."""
+    v = F.lower(F.coalesce(value, F.lit("")))
+    local = F.when(v.contains("@"), F.regexp_replace(v, "@[^@]*$", "")).otherwise("")
+    domain = F.substring_index(v, "@", -1)
+    of = reduce(or_, ((domain == d) | F.endswith(domain, F.lit("." + d)) for d in PLACEHOLDER_DOMAINS))
+    out = F.when(F.substring_index(domain, ".", -1).isin(*FILE_ENDINGS), "file name, not an email").when(of, "placeholder or framework domain").when(local.isin(*PLACEHOLDER_LOCALS), "placeholder mailbox name")
+    return (out if real is None else out.when(reserved_host(domain) & real, "reserved example domain")).otherwise("")
+
+
+def placeholder_phone(value: Column, real: Column | None = None) -> Column:
+    """Why a number is a template value, or the empty text; numbers reserved for fiction only count on a real site."""
     d = digits(value)
     n = F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
-    return F.when(F.size(F.array_distinct(F.split(n, ""))) <= 1, "repeated digits").when(n.isin(*SEQUENTIAL), "sequential digits").otherwise("")
+    out = F.when(F.size(F.array_distinct(F.split(n, ""))) <= 1, "repeated digits").when(n.isin(*SEQUENTIAL), "sequential digits")
+    return (out if real is None else out.when(n.rlike("^\\d{3}555(?:01\\d\\d|5555)$") & real, "reserved fictional number")).otherwise("")
+
+
+def placeholder_name(value: Column) -> Column:
+    """Whether a name is that of a template."""
+    return F.coalesce(value.rlike(PLACEHOLDER_NAME), F.lit(False))
 
 
 def safe_cell(value: Column) -> Column:

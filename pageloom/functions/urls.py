@@ -1,34 +1,44 @@
-"""URL functions as Column expressions: one regex split, then string functions inside code generation."""
+"""URL functions as Column expressions: an address is taken apart by one regular expression and bound once per row."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# An absolute web address, tracking and trap parameters, paths and files without content.
-SPLIT = "(?s)^\\s*(https?)://([^/?#@\\s]+)([^?#]*)(\\?[^#]*)?(#.*)?\\s*$"
-TRACKING = "(?i)^(?:utm_.*|gclid|fbclid|msclkid|mc_cid|mc_eid)(?:=|$)"
-TRAPS = "(?i)^(?:sort|order|filter|session|sessionid|sid|calendar|replytocom)(?:=|$)"
+CUT = "\u0001"
+# An absolute web address (scheme, host, port, path, query), tracking and trap parameters, paths and files without content.
+PARTS = "(?is)^\\s*(https?)://(\\[[0-9a-f:.]+\\]|[^/?#@\\s:\\[\\]]+)(?::(\\d*))?((?:/[^?#]*?)?)(?:\\?([^#]*?))?(?:#.*?)?\\s*$"
+TRACKING = ("gclid", "fbclid", "msclkid", "mc_cid", "mc_eid")
+TRAPS = ("sort", "order", "filter", "session", "sessionid", "sid", "calendar", "replytocom")
 SKIP_PATH = "(?i)/(?:login|logout|signin|signout|search|cart|checkout|calendar|wp-admin)(?:/|$)"
 ASSETS = "(?i)\\.(?:pdf|jpe?g|png|gif|svg|webp|zip|exe|mp[34]|css|js|ico|woff2?|docx?|xlsx?)$"
 LOCAL_HOST = "(?:^localhost|\\.localhost|\\.local|\\.internal)$"
 PRIVATE_IP = "^(?:0|10|127|169\\.254|192\\.168|192\\.0\\.[02]|198\\.1[89]|198\\.51\\.100|203\\.0\\.113|172\\.(?:1[6-9]|2\\d|3[01])|100\\.(?:6[4-9]|[7-9]\\d|1[01]\\d|12[0-7])|22[4-9]|23\\d|24\\d|25[0-5])\\."
 IPV4 = "^\\d{1,3}(?:\\.\\d{1,3}){3}$"
 SECOND_LEVEL = ("co", "com", "org", "net", "gov", "edu", "ac", "or", "ne")
-# Hosts and paths that are page chrome, with the reason, in the order they are tried.
+# IPv6 networks with public addresses, and those among them that aren't.
+PUBLIC_IP6 = "^[23][0-9a-f]{3}:"
+PRIVATE_IP6 = "^(?:2001:(?:0?db8:|[01]?[0-9a-f]{1,2}:|0[01][0-9a-f]{2}:|:)|2002:|3fff:0?[0-9a-f]{1,3}:)"
+# Hosts that hold no person pages, and hosts and paths that are page chrome with the reason, in the order they are tried.
+SOCIAL_HOSTS = ("facebook.com", "linkedin.com", "x.com", "twitter.com", "instagram.com", "tiktok.com", "youtube.com", "reddit.com", "bsky.app")
+DOCUMENT_HOSTS = ("docs.google.com", "drive.google.com", "dropbox.com", "box.com", "docsend.com", "slideshare.net", "scribd.com", "notion.site", "notion.so")
+SCHEDULING_HOSTS = ("calendly.com", "cal.com", "acuityscheduling.com", "calendar.google.com", "meetings.hubspot.com")
 NOISE_HOSTS = (
-    ("social profile or share link", "facebook.com linkedin.com x.com twitter.com instagram.com tiktok.com youtube.com reddit.com bsky.app pinterest.com threads.net"),
-    ("document or file share", "docs.google.com drive.google.com dropbox.com box.com docsend.com slideshare.net scribd.com notion.site notion.so"),
-    ("scheduling page", "calendly.com cal.com acuityscheduling.com calendar.google.com meetings.hubspot.com"),
-    ("link shortener", "goo.gl bit.ly t.co tinyurl.com ow.ly buff.ly lnkd.in rebrand.ly cutt.ly"),
-    ("app store listing", "apps.apple.com itunes.apple.com play.google.com chromewebstore.google.com"),
-    ("review or event platform", "trustpilot.com g2.com capterra.com luma.com eventbrite.com meetup.com"),
-    ("policy page", "policies.google.com"),
+    ("social profile or share link", (*SOCIAL_HOSTS, "pinterest.com", "threads.net")),
+    ("document or file share", DOCUMENT_HOSTS),
+    ("scheduling page", SCHEDULING_HOSTS),
+    ("link shortener", ("goo.gl", "bit.ly", "t.co", "tinyurl.com", "ow.ly", "buff.ly", "lnkd.in", "rebrand.ly", "cutt.ly")),
+    ("app store listing", ("apps.apple.com", "itunes.apple.com", "play.google.com", "chromewebstore.google.com")),
+    ("review or event platform", ("trustpilot.com", "g2.com", "capterra.com", "luma.com", "eventbrite.com", "meetup.com")),
+    ("policy page", ("policies.google.com",)),
 )
 NOISE_SUBDOMAINS = (
-    ("login or app screen", "auth login accounts sso signin dash dashboard app"),
-    ("documentation or help site", "docs help support developers"),
-    ("CDN or asset host", "cdn static assets"),
+    ("login or app screen", ("auth", "login", "accounts", "sso", "signin", "dash", "dashboard", "app")),
+    ("documentation or help site", ("docs", "help", "support", "developers")),
+    ("CDN or asset host", ("cdn", "static", "assets")),
 )
 NOISE_PATHS = (
     ("share button", "(?i)/(?:sharer(?:\\.php)?|share|sharearticle|intent/(?:tweet|post))(?:/|$)"),
@@ -39,29 +49,56 @@ NOISE_PATHS = (
 )
 
 
-def part(url: Column, group: int) -> Column:
-    """Group of the split: 1 scheme, 2 host and port, 3 path, 4 query with its mark; empty if the text is no address."""
-    return F.regexp_extract(url, "(?i)" + SPLIT, group)
+def bound(columns: dict[str, Column], body) -> Column:
+    """Value of a function of named columns, each of them computed once per row."""
+    return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))), body), 0)
+
+
+def parts(url: Column) -> Column:
+    """Struct of scheme, host, path and query of an address, NULL for NULL and for what is no valid web address.
+
+    Valid: http or https, no credentials, the scheme's own port or none, no control characters or backslashes. The host
+    is in lower case, without trailing dots, international names in their ASCII form, IPv6 addresses in brackets.
+    """
+
+    def checked(x: Column) -> Column:
+        p = x["p"]
+        scheme, port = F.lower(F.get(p, 0)), F.get(p, 2)
+        raw = F.regexp_replace(F.lower(F.get(p, 1)), "\\.+$", "")
+        host = F.when(raw.rlike("[^\\x00-\\x7f]"), F.regexp_replace(F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), raw)), "\\.+$", "")).otherwise(raw)
+        ok = (F.size(p) == 5) & ~x["u"].rlike("[\\x00-\\x1f\\\\]") & ((port == "") | (F.ltrim(port, F.lit("0")) == F.when(scheme == "https", "443").otherwise("80")))
+        got = F.struct(scheme.alias("scheme"), host.alias("host"), F.get(p, 3).alias("path"), F.get(p, 4).alias("query"))
+        return F.when(ok & (host != ""), got)
+
+    return bound({"u": url, "p": F.split(F.regexp_replace(url, PARTS, f"$1{CUT}$2{CUT}$3{CUT}$4{CUT}$5"), CUT)}, checked)
+
+
+def with_parts(url: Column, body) -> Column:
+    """A function of an address's parts, which are taken apart once; NULL for invalid addresses."""
+    return bound({"a": parts(url)}, lambda x: F.when(x["a"].isNotNull(), body(x["a"])))
 
 
 def host(url: Column) -> Column:
-    """Lower-case host without standard port and trailing dot; NULL if the address has no valid host."""
-    raw = F.lower(part(url, 2))
-    bare = F.regexp_replace(F.when(F.lower(part(url, 1)) == "https", F.regexp_replace(raw, ":443?$|:$", "")).otherwise(F.regexp_replace(raw, ":(?:80)?$", "")), "\\.+$", "")
-    return F.when((bare != "") & ~bare.contains(":"), bare)
+    """Host of a valid address, else NULL."""
+    return parts(url)["host"]
+
+
+def _canonical(a: Column) -> Column:
+    return F.concat(a["scheme"], F.lit("://"), a["host"], F.when(a["path"] == "", "/").otherwise(a["path"]), F.when(a["query"] != "", F.concat(F.lit("?"), a["query"])).otherwise(""))
+
+
+def _origin(a: Column) -> Column:
+    return F.concat(a["scheme"], F.lit("://"), a["host"])
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme, lower-case host, path (at least /) and query, without fragment; NULL for NULL and invalid addresses."""
-    h = host(url)
-    path = F.when(part(url, 3) == "", "/").otherwise(part(url, 3))
-    ok = h.isNotNull() & ~F.trim(url).rlike("[\\x00-\\x1f\\\\]")
-    return F.when(ok, F.concat(F.lower(part(url, 1)), F.lit("://"), h, path, F.when(part(url, 4) == "?", "").otherwise(part(url, 4))))
+    """Scheme, host, path (at least /) and query, without fragment; NULL for NULL and invalid addresses."""
+    return with_parts(url, _canonical)
 
 
 def origin(url: Column) -> Column:
     """scheme://host of the canonical address; NULL if there is none."""
-    return F.when(canonical_url(url).isNotNull(), F.concat(F.lower(part(url, 1)), F.lit("://"), host(url)))
+    return with_parts(url, _origin)
 
 
 def safe_origin(url: Column) -> Column:
@@ -69,27 +106,60 @@ def safe_origin(url: Column) -> Column:
     return F.coalesce(origin(url), F.lit(""))
 
 
+def unescaped(text: Column, plus: bool = False) -> Column:
+    """Percent-decoded text; a plus stays a plus unless asked, malformed escapes stay as they are."""
+    marked = F.regexp_replace(text if plus else F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9a-fA-F]{2})", "%25")
+    held = text.contains("%") | text.contains("+") if plus else text.contains("%")
+    return F.when(held, F.coalesce(F.try_url_decode(marked), text)).otherwise(text)
+
+
+def escaped(text: Column) -> Column:
+    """Form-encoded text: letters, digits and -._~ as they are, blanks as plus."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def decoded_path(url: Column) -> Column:
-    """Percent-decoded path; a plus stays a plus, malformed escapes stay as they are."""
-    p = part(url, 3)
-    return F.when(p.contains("%"), F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)).otherwise(p)
+    """Percent-decoded path of a valid address, else NULL."""
+    return with_parts(url, lambda a: unescaped(a["path"]))
 
 
 def clean_url(url: Column) -> Column:
-    """Canonical address without tracking parameters, the others sorted; NULL for addresses that lead to no content."""
-    pairs = F.filter(F.split(F.regexp_replace(part(url, 4), "^\\?", ""), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
+    """Canonical address without tracking parameters, the others sorted and encoded anew; NULL for addresses that lead to
+    no content: local and private hosts, traversal, tool paths, files, filters and sessions, more than 8 parameters, 1500 characters."""
+
+    def pair(f: Column) -> Column:
+        key = F.substring_index(f, "=", 1)
+        value = F.when(f.contains("="), F.substring(f, F.length(key) + 2, F.length(f))).otherwise("")
+        return F.struct(unescaped(key, True).alias("k"), unescaped(value, True).alias("v"))
 
     def cleaned(x: Column) -> Column:
-        h, path, q = x["h"], x["p"], x["q"]
-        bad = (
-            h.rlike(LOCAL_HOST) | ~h.contains(".") | (h.rlike(IPV4) & h.rlike(PRIVATE_IP)) | path.rlike("(?:^|/)\\.\\.(?:/|$)") | path.contains("\\")
-            | path.rlike(SKIP_PATH) | path.rlike(ASSETS) | (F.size(q) > 8) | F.exists(q, lambda p: p.rlike(TRAPS))
-        )
-        query = F.array_join(F.array_sort(F.transform(q, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))), "&")
-        out = F.concat(F.substring_index(x["c"], "?", 1), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-        return F.when(x["c"].isNotNull() & ~bad & (F.length(out) <= 1500), out)
+        a, path, q = x["a"], x["p"], x["q"]
+        h = F.regexp_replace(a["host"], "^\\[|\\]$", "")
+        six = a["host"].startswith("[")
+        local = h.rlike(LOCAL_HOST) | (~six & ~h.contains(".")) | (h.rlike(IPV4) & h.rlike(PRIVATE_IP)) | (six & (~h.rlike(PUBLIC_IP6) | h.rlike(PRIVATE_IP6)))
+        useless = path.rlike("(?:^|/)\\.\\.(?:/|$)") | path.contains("\\") | path.rlike(SKIP_PATH) | path.rlike(ASSETS)
+        endless = (F.size(q) > 8) | (F.size(F.split(a["query"], "&")) > 40) | F.exists(q, lambda f: F.lower(f["k"]).isin(*TRAPS))
+        query = F.array_join(F.transform(F.array_sort(q), lambda f: F.concat(escaped(f["k"]), F.lit("="), escaped(f["v"]))), "&")
+        out = F.concat(_origin(a), F.when(a["path"] == "", "/").otherwise(a["path"]), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+        return F.when(~(local | useless | endless) & (F.length(out) <= 1500), out)
+
+    def content(a: Column) -> Column:
+        fields = F.transform(F.filter(F.split(a["query"], "&"), lambda f: f != ""), pair)
+        kept = F.filter(fields, lambda f: ~F.lower(f["k"]).startswith("utm_") & ~F.lower(f["k"]).isin(*TRACKING))
+        return bound({"a": a, "p": unescaped(a["path"]), "q": kept}, cleaned)
+
+    return with_parts(url, content)
+
+
+def same_start(a: Column, b: Column) -> Column:
+    """Whether two addresses clean to the same one; unusable ones never do."""
+    return F.coalesce(clean_url(a) == clean_url(b), F.lit(False))
 
-    return _bound({"c": canonical_url(url), "h": host(url), "p": decoded_path(url), "q": pairs}, cleaned)
+
+def plain_path(value: Column) -> Column:
+    """Whether a text is a plain path: it starts with a slash and holds no escape, query, fragment, backslash, empty or dot-dot
+    segment, white space or control character."""
+    return F.coalesce(value.startswith("/") & ~value.rlike("[%?#\\\\\\s\\p{C}]|//|(?:^|/)\\.\\.(?:/|$)"), F.lit(False))
 
 
 def site_key(url: Column) -> Column:
@@ -99,65 +169,84 @@ def site_key(url: Column) -> Column:
 
 def site_family(url: Column) -> Column:
     """Approximate registrable domain: two labels, three below a two-letter country with a second level."""
-    labels = F.filter(F.split(host(url), "\\."), lambda x: x != "")
-    n = F.size(labels)
-    three = (F.length(F.get(labels, n - 1)) == 2) & F.get(labels, n - 2).isin(*SECOND_LEVEL) & (n > 2)
-    keep = F.when(three, 3).otherwise(2)
-    return F.array_join(F.slice(labels, F.greatest(n - keep + 1, F.lit(1)), F.greatest(keep, F.lit(1))), ".")
+
+    def family(a: Column) -> Column:
+        labels = F.filter(F.split(a["host"], "\\."), lambda x: x != "")
+        n = F.size(labels)
+        three = (F.length(F.get(labels, n - 1)) == 2) & F.get(labels, n - 2).isin(*SECOND_LEVEL) & (n > 2)
+        keep = F.when(three, 3).otherwise(2)
+        return F.array_join(F.slice(labels, F.greatest(n - keep + 1, F.lit(1)), F.greatest(keep, F.lit(1))), ".")
+
+    return with_parts(url, family)
 
 
 def duplicate_key(url: Column) -> Column:
     """Scheme, host without www., path without trailing slash and query, as one text."""
-    return F.concat_ws("\x1f", F.lower(part(url, 1)), site_key(url), F.regexp_replace(part(url, 3), "/+$", ""), F.regexp_replace(part(url, 4), "^\\?", ""))
+    return with_parts(url, lambda a: F.concat_ws("\x1f", a["scheme"], F.regexp_replace(a["host"], "^www\\.", ""), F.regexp_replace(a["path"], "/+$", ""), a["query"]))
 
 
 def page_kind(url: Column) -> Column:
-    """start, team, about, contact or other, from the path."""
-    p = F.lower(F.regexp_replace(decoded_path(url), "[-_]", " "))
+    """start, team, about, contact or other, from the path; other for invalid addresses."""
+    return bound({"p": F.lower(F.regexp_replace(decoded_path(url), "[-_]", " "))}, lambda x: _kind(x["p"]))
+
+
+def _kind(p: Column) -> Column:
     return (
         F.when(F.regexp_replace(p, "/+", "") == "", "start").when(p.rlike("(?:^|[^a-z])(?:team|staff|people|agents?|representatives?|advisors?|leadership)(?:[^a-z]|$)"), "team")
         .when(p.rlike("(?:^|[^a-z])(?:about|who we are|our company)(?:[^a-z]|$)"), "about").when(p.rlike("(?:^|[^a-z])contacts?(?:[^a-z]|$)"), "contact").otherwise("other")
     )
 
 
+def _bare(a: Column) -> Column:
+    return F.regexp_replace(a["host"], "^www\\.", "")
+
+
+def _same_site(a: Column, b: Column) -> Column:
+    schemes = (a["scheme"] == b["scheme"]) | ((a["scheme"] == "http") & (b["scheme"] == "https"))
+    return schemes & (_bare(a) == _bare(b)) & _bare(a).contains(".")
+
+
 def same_site(a: Column, b: Column) -> Column:
     """Same website: equal or http to https, equal host but for one www., and a dotted host."""
-    schemes = (F.lower(part(a, 1)) == F.lower(part(b, 1))) | ((F.lower(part(a, 1)) == "http") & (F.lower(part(b, 1)) == "https"))
-    return F.coalesce(schemes & (site_key(a) == site_key(b)) & site_key(a).contains("."), F.lit(False))
+    return F.coalesce(bound({"a": parts(a), "b": parts(b)}, lambda x: _same_site(x["a"], x["b"])), F.lit(False))
 
 
 def in_scope(source_url: Column, approval_kind: Column, allowed_paths: Column, allow_homepage: Column, url: Column) -> Column:
     """Whether an address lies on the source's site and below one of its path prefixes (on a segment boundary)."""
-    here = (origin(url) == origin(source_url)) | ((approval_kind == "operator") & same_site(source_url, url))
-    path = F.when(decoded_path(url) == "", "/").otherwise(decoded_path(url))
-    home = (path == "/") & (part(url, 4).isin("", "?")) & allow_homepage
-    below = F.exists(allowed_paths, lambda p: (F.trim(p) != "") & ((path == F.rtrim(p, F.lit("/"))) | F.startswith(path, F.concat(F.rtrim(p, F.lit("/")), F.lit("/")))))
-    return F.coalesce(here & ~path.rlike("(?:^|/)\\.\\.(?:/|$)") & ~path.contains("\\") & (home | below), F.lit(False))
 
+    def inside(x: Column) -> Column:
+        s, u = x["s"], x["u"]
+        here = (_origin(s) == _origin(u)) | ((approval_kind == "operator") & _same_site(s, u))
+        path = F.when(u["path"] == "", "/").otherwise(unescaped(u["path"]))
+        home = (path == "/") & (u["query"] == "") & allow_homepage
+        below = F.exists(allowed_paths, lambda p: (F.trim(p) != "") & ((path == F.rtrim(p, F.lit("/"))) | F.startswith(path, F.concat(F.rtrim(p, F.lit("/")), F.lit("/")))))
+        return here & ~path.rlike("(?:^|/)\\.\\.(?:/|$)") & ~path.contains("\\") & (home | below)
 
-def _bound(columns: dict[str, Column], body) -> Column:
-    """Value of a function of named columns, each of them computed once per row."""
-    return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))), body), 0)
+    return F.coalesce(bound({"s": parts(source_url), "u": parts(url)}, inside), F.lit(False))
+
+
+def on_hosts(h: Column, domains: tuple[str, ...]) -> Column:
+    """Whether a host is, or lies below, one of a few domains."""
+    return reduce(or_, ((h == d) | F.endswith(h, F.lit("." + d)) for d in domains))
 
 
 def noise_reason(url: Column) -> Column:
     """Why an address is page chrome; NULL if it isn't."""
 
-    def reason(x: Column) -> Column:
-        h, path = x["h"], x["p"]
-        out = F.when(h.rlike("https?$") | path.rlike("https?:?//"), "malformed link (URL pasted into another URL)")
+    def reason(a: Column) -> Column:
+        h, path = a["host"], unescaped(a["path"])
+        out = F.when(h.rlike("https?$") | a["path"].rlike("https?:?//"), "malformed link (URL pasted into another URL)")
         for why, domains in NOISE_HOSTS:
-            out = out.when(h.rlike("(?:^|\\.)(?:" + "|".join(d.replace(".", "\\.") for d in domains.split()) + ")$"), why)
+            out = out.when(on_hosts(h, domains), why)
         for why, names in NOISE_SUBDOMAINS:
-            out = out.when(h.rlike("^[^.]*\\.[^.]*\\.") & h.rlike("^(?:(?:" + names.replace(" ", "|") + ")\\d*|[^.]*-cdn)\\."), why)
+            out = out.when(h.rlike("^[^.]*\\.[^.]*\\.") & h.rlike("^(?:(?:" + "|".join(names) + ")\\d*|[^.]*-cdn)\\."), why)
         for why, pattern in NOISE_PATHS:
             out = out.when(path.rlike(pattern), why)
         return out
 
-    return _bound({"h": host(url), "p": decoded_path(url)}, reason)
+    return with_parts(url, reason)
 
 
 def denied(url: Column, domains: Column) -> Column:
     """Whether the host is, or lies below, one of an array of domains."""
-    h = host(url)
-    return F.exists(domains, lambda d: (h == d) | F.endswith(h, F.concat(F.lit("."), d)))
+    return F.coalesce(bound({"h": host(url)}, lambda x: F.exists(domains, lambda d: (x["h"] == d) | F.endswith(x["h"], F.concat(F.lit("."), d)))), F.lit(False))

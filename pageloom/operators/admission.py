@@ -15,15 +15,18 @@ def admit_exact(df: DataFrame, scope: str, order: list[str], group: str, explora
     """Rows taken in order while slots last, exploratory rows only up to their cap, one exploratory row per group.
 
     The two caps interact, so rows are folded in order: partitions are cut by scope and sorted, and the fold is a
-    stream over each partition with one counter pair and one set of groups per scope, never a gathered scope.
+    stream over each partition with one counter pair and one set of groups per scope, never a gathered scope. Rows with a
+    NULL scope are one scope; a NULL cap admits none of what it caps; ties of ``order`` are admitted in any order.
     """
     keep = df.schema.fieldNames()
+    # A text that no other scope has stands for NULL, which would equal nothing in the fold.
+    key = F.coalesce(F.concat(F.lit("="), F.col(scope).cast("string")), F.lit(""))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, taken, explored, groups = object(), 0, 0, set()
         for pdf in batches:
             mask = []
-            for s, g, e, n, cap in zip(pdf[scope], pdf[group], pdf[exploratory], pdf[slots], pdf[share_cap]):
+            for s, g, e, n, cap in zip(pdf["__scope"], pdf[group], pdf[exploratory], pdf[slots], pdf[share_cap]):
                 if s != at:
                     at, taken, explored, groups = s, 0, 0, set()
                 ok = taken < n and (not e or (explored < cap and g not in groups))
@@ -33,9 +36,10 @@ def admit_exact(df: DataFrame, scope: str, order: list[str], group: str, explora
                         explored += 1
                         groups.add(g)
                 mask.append(ok)
-            yield pdf[mask]
+            yield pdf.loc[mask, keep]
 
-    return df.repartition(scope).sortWithinPartitions(scope, *order).mapInPandas(fold, StructType([df.schema[c] for c in keep]))
+    d = df.withColumn("__scope", key).repartition("__scope").sortWithinPartitions("__scope", *order)
+    return d.mapInPandas(fold, StructType([df.schema[c] for c in keep]))
 
 
 def admit_separable(df: DataFrame, scope: list[str], order: list[Column], per_group: tuple[str, Column] | None, total: Column) -> DataFrame:

@@ -12,6 +12,11 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
+def numbered_top(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str) -> DataFrame:
+    """The first n rows of each key with their place; Spark keeps only n rows per key before the shuffle."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= n)
+
+
 def interleaved(df: DataFrame, scope: list[str], tier: str, origin: str, priority: str, pos: str) -> DataFrame:
     """Add ``place``: tiers in order; in a tier origins by their best item, one item of each origin per round."""
     by = [*scope, tier]

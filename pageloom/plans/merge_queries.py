@@ -64,7 +64,7 @@ def g10_stream_dedup(spark, d):
     return distinct_events(spark, f"{d}/events.parquet").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("g04_stream_throttle")
+@query("g04_stream_throttle", "SELECT user_id, count(*) AS requests, floor(max(epoch(ts)))::BIGINT + 60 AS next_allowed FROM events GROUP BY 1")
 def g04_stream_throttle(spark, d):
     """Next allowed time per origin (user) from keyed state with a delay of a minute."""
     from pageloom.streaming.quotas import throttled

@@ -3,13 +3,11 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageloom.functions import scores as S
-from pageloom.functions import urls as U
 from pageloom.operators import aggregates as A
 from pageloom.operators import joins as J
 from pageloom.operators import windows as W
 from pageloom.plans.registry import query
-from pageloom.session import small, spread, table
+from pageloom.session import small, table
 
 
 @query("a01_totals", """SELECT count(*) AS total, count(*) FILTER (WHERE contact_scope = 'person') AS personal, count(*) FILTER (WHERE contact_scope = 'shared') AS shared,
@@ -118,31 +116,31 @@ def w10_cursor(spark, d):
     return table(spark, d, "discovered_urls").where("url_id > 500 AND decision = 'pending'").orderBy("url_id").limit(100).select("url_id")
 
 
-@query("w13_packing")
+_PACKS = """WITH RECURSIVE r AS (SELECT coalesce(lead_id, -1) AS lead_id, record_id, coalesce(length(evidence), 0) AS n, row_number() OVER (PARTITION BY lead_id ORDER BY record_id) AS k FROM records),
+ p AS (SELECT lead_id, record_id, k, n AS used, 0 AS pack FROM r WHERE k = 1 UNION ALL SELECT r.lead_id, r.record_id, r.k, CASE WHEN p.used + r.n > 300 THEN r.n ELSE p.used + r.n END, CASE WHEN p.used + r.n > 300 THEN p.pack + 1 ELSE p.pack END
+ FROM p JOIN r ON r.lead_id = p.lead_id AND r.k = p.k + 1) SELECT record_id, pack FROM p"""
+
+
+@query("w13_packing", _PACKS)
 def w13_packing(spark, d):
-    """Pack of every record's evidence under 4,000 characters per lead: greedy in order, one streamed fold."""
+    """Pack of every record's evidence under 300 characters per lead: greedy in order, one streamed fold; NULL leads are one."""
 
     def fold(batches):
-        at, pack, used = object(), 0, 0
+        at, pack, used = None, 0, 0
         for pdf in batches:
             out = []
-            for lead, n in zip(pdf["lead_id"], pdf["n"]):
+            for lead, n in zip(pdf["lead"], pdf["n"]):
                 if lead != at:
                     at, pack, used = lead, 0, 0
-                elif used + n > 4000:
+                elif used + n > 300:
                     pack, used = pack + 1, 0
                 used += n
                 out.append(pack)
-            yield pdf.assign(pack=out).astype({"pack": "int32"})
-
-    r = table(spark, d, "records").select("lead_id", "record_id", F.coalesce(F.length("evidence"), F.lit(0)).alias("n"))
-    return r.repartition("lead_id").sortWithinPartitions("lead_id", "record_id").mapInPandas(fold, "lead_id long, record_id long, n int, pack int")
+            yield pdf.assign(pack=out)[["record_id", "pack"]].astype({"pack": "int32"})
 
-
-@query("l04_link_priority", "SELECT url_id FROM (SELECT url_id, row_number() OVER (PARTITION BY found_on ORDER BY score DESC, url_id) AS r FROM discovered_urls WHERE found_on <> '') WHERE r <= 5")
-def l04_link_priority(spark, d):
-    """The five best links of every page."""
-    return W.top_n(table(spark, d, "discovered_urls").where("found_on <> ''").select("url_id", "found_on", "score"), ["found_on"], [F.desc("score"), F.asc("url_id")], 5).select("url_id")
+    lead = F.coalesce(F.concat(F.lit("="), F.col("lead_id").cast("string")), F.lit(""))
+    r = table(spark, d, "records").select(lead.alias("lead"), "record_id", F.coalesce(F.length("evidence"), F.lit(0)).alias("n"))
+    return r.repartition("lead").sortWithinPartitions("lead", "record_id").mapInPandas(fold, "record_id long, pack int")
 
 
 @query("f02_candidates", "SELECT url_id FROM discovered_urls WHERE decision = 'pending' AND archived_at IS NULL AND (contains(lower(url), 'team') OR contains(lower(label), 'team'))")
@@ -167,17 +165,6 @@ def f33_failures(spark, d):
     return table(spark, d, "records").where("evidence IS NOT NULL").groupBy(c.alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c19_rank")
-def c19_rank(spark, d):
-    """Explainable score of every URL: total and reasons, with its campaign's terms."""
-    c = table(spark, d, "campaigns").select("campaign_id", "keywords", "sales_terms", "region")
-    u = spread(table(spark, d, "discovered_urls").select("url_id", "campaign_id", "url", "label", "context")).join(small(c), "campaign_id")
-    u = u.withColumn("path", U.decoded_path(F.col("url")))
-    parts = S.score_parts(*map(F.col, ("path", "label", "context", "keywords", "sales_terms", "region")))
-    u = u.select("url_id", F.map_from_arrays(F.array(*map(F.lit, parts)), F.array(*parts.values())).alias("parts"))
-    return u.select("url_id", F.aggregate(F.map_values("parts"), F.lit(0), lambda a, x: a + x).alias("score"), F.map_keys(F.map_filter("parts", lambda k, v: v != 0)).alias("reasons"))
-
-
 @query("c27_queries", """SELECT DISTINCT campaign_id, k || ' ' || t AS search_query FROM (SELECT campaign_id, unnest(keywords) AS k, sales_terms FROM campaigns), unnest(sales_terms) AS x(t)""")
 def c27_queries(spark, d):
     """Search queries of a campaign: every keyword with every sales term, within the row."""
@@ -191,21 +178,6 @@ def c40_json_path(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
 
 
-@query("m08_rescored", "SELECT url_id, CASE WHEN coalesce(label, '') = '' THEN greatest(score - 5, 0) ELSE score END AS new_score FROM discovered_urls WHERE (CASE WHEN coalesce(label, '') = '' THEN greatest(score - 5, 0) ELSE score END) <> score")
-def m08_rescored(spark, d):
-    """Rows whose recomputed score differs, and only those."""
-    new = F.when(F.coalesce("label", F.lit("")) == "", F.greatest(F.col("score") - 5, F.lit(0))).otherwise(F.col("score"))
-    return table(spark, d, "discovered_urls").select("url_id", "score", new.alias("new_score")).where("new_score <> score").drop("score")
-
-
-@query("m10_parked", "SELECT campaign_id, count(*) AS parked, min(url_id) AS first_id FROM discovered_urls u JOIN campaigns c USING (campaign_id) WHERE archived_at IS NULL AND park_low_value_urls AND score < min_score GROUP BY 1")
-def m10_parked(spark, d):
-    """Active rows that a campaign would park."""
-    c = table(spark, d, "campaigns").where("park_low_value_urls").select("campaign_id", "min_score")
-    u = table(spark, d, "discovered_urls").where("archived_at IS NULL").select("campaign_id", "url_id", "score").join(small(c), "campaign_id").where("score < min_score")
-    return u.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("parked"), F.min("url_id").alias("first_id"))
-
-
 @query("m24_cascade", "SELECT url_id, coalesce(s.blocked_at IS NOT NULL, false) AS paused FROM discovered_urls u LEFT JOIN sources s ON u.source_id = s.source_id")
 def m24_cascade(spark, d):
     """Rows paused by the block of their source."""

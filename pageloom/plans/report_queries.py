@@ -57,9 +57,9 @@ def a02_label_yields(spark, d):
 @query("a04_harvest", "SELECT event_type, user_id % 10 AS lane, count(*) AS n, sum(value) AS total, grouping(event_type, user_id % 10)::INT AS level FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 10), ())")
 def a04_harvest(spark, d):
     """Harvest by method, by lane and overall in one grouping-sets pass."""
-    e = table(spark, d, "events").withColumn("lane", F.col("user_id") % 10)
-    e.createOrReplaceTempView("harvest_events")
-    return spark.sql("SELECT event_type, lane, count(*) AS n, sum(value) AS total, cast(grouping_id() AS int) AS level FROM harvest_events GROUP BY GROUPING SETS ((event_type), (lane), ())")
+    e = table(spark, d, "events").select("event_type", (F.col("user_id") % 10).alias("lane"), "value")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.grouping_id().cast("int").alias("level")]
+    return e.groupingSets([["event_type"], ["lane"], []], "event_type", "lane").agg(*sums)
 
 
 @query("a05_having", "SELECT source_id, count(*) AS pages FROM discovered_urls WHERE source_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 10 AND max(score) < 80")
@@ -88,12 +88,6 @@ def a12_latest_runs(spark, d):
     return J.best_per_key(table(spark, d, "discovery_runs"), ["campaign_id"], [F.col("run_id")], ["run_id", "status"])
 
 
-@query("a14_pivot", "SELECT campaign_id, count(*) FILTER (WHERE kind = 'page') AS page, count(*) FILTER (WHERE kind = 'sitemap') AS sitemap FROM discovered_urls GROUP BY 1")
-def a14_pivot(spark, d):
-    """Pages and sitemaps per campaign."""
-    return table(spark, d, "discovered_urls").groupBy("campaign_id").pivot("kind", ["page", "sitemap"]).count().fillna(0, ["page", "sitemap"])
-
-
 @query("a15_reasons", "SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM discovered_urls) GROUP BY 1 ORDER BY n DESC, reason LIMIT 20")
 def a15_reasons(spark, d):
     """The twenty most frequent score reasons."""
@@ -230,7 +224,14 @@ def w06_admitted(spark, d):
     return W.admitted(b, ["run_id"], [F.desc("priority"), F.asc("pos")], F.col("max_pages")).select("spec_id")
 
 
-@query("w07_tiered_admission")
+_TIERED = """WITH RECURSIVE r AS (SELECT spec_id, run_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1) AS host, source_hint IS NULL AS e, row_number() OVER (PARTITION BY run_id ORDER BY priority DESC, pos) AS k FROM url_batches WHERE url IS NOT NULL),
+ p AS (SELECT DISTINCT run_id, 0::BIGINT AS k, 0 AS taken, 0 AS explored, []::VARCHAR[] AS hosts, 0::BIGINT AS spec_id, false AS ok FROM r
+ UNION ALL SELECT run_id, k, taken + ok::INT, explored + (ok AND e)::INT, CASE WHEN ok AND e THEN list_append(hosts, host) ELSE hosts END, spec_id, ok FROM
+ (SELECT r.run_id, r.k, p.taken, p.explored, p.hosts, r.host, r.e, r.spec_id, p.taken < 25 AND (NOT r.e OR (p.explored < 10 AND NOT list_contains(p.hosts, r.host))) AS ok FROM p JOIN r ON r.run_id = p.run_id AND r.k = p.k + 1))
+ SELECT run_id, spec_id FROM p WHERE ok"""
+
+
+@query("w07_tiered_admission", _TIERED)
 def w07_tiered_admission(spark, d):
     """Slots of a run under two interacting caps: exploratory specs (no hint) up to 40 %, one per host."""
     from pageloom.operators.admission import admit_exact

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import numbers as N
 from pageloom.functions import text as T
 from pageloom.operators.joins import shared_values
+from pageloom.plans.html_queries import mails, numbers
 from pageloom.plans.registry import query
 from pageloom.session import small, table
 
@@ -49,8 +50,8 @@ def c16_sales_roles(spark, d):
     return table(spark, d, "records").where(F.col("title").rlike(T.SALES_ROLE)).select("record_id")
 
 
-@query("c17_contacts", f"""SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, {q(T.EMAIL)}), lambda x: lower(x)))) AS emails,
- list_sort(list_distinct(list_transform(regexp_extract_all(text, {q(T.PHONE)}), lambda x: regexp_replace(x, '[^0-9]', '', 'g')))) AS phones FROM documents""")
+@query("c17_contacts", f"""SELECT doc_id, list_sort(list_distinct(list_transform({mails('text')}, lambda x: lower(x)))) AS emails,
+ list_sort(list_distinct(list_transform({numbers('text')}, lambda x: regexp_replace(x, '[^0-9]', '', 'g')))) AS phones FROM documents""")
 def c17_contacts(spark, d):
     """Every address and number in every document."""
     t = F.col("text")
@@ -129,12 +130,34 @@ def c34_cache_buckets(spark, d):
     return table(spark, d, "events").groupBy(N.cache_bucket(F.col("ts").cast("timestamp")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c36_normalized_weights")
+@query("c36_normalized_weights", """WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: (x * x)::DOUBLE) AS s FROM embeddings), n AS (SELECT vec_id, list_transform(s, lambda x: x / list_sum(s)) AS w FROM w)
+ SELECT vec_id, list_position(w, list_max(w)) AS peak, round(list_sum(w), 6) AS total FROM n""")
 def c36_normalized_weights(spark, d):
     """Squared vectors scaled to sum 1, and the position of the peak."""
     w = N.normalized(F.transform("embedding", lambda x: x * x))
     e = table(spark, d, "embeddings").select("vec_id", w.alias("w"))
-    return e.select("vec_id", F.array_position("w", F.array_max("w")).alias("peak"), F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
+    return e.select("vec_id", F.array_position("w", F.array_max("w")).alias("peak"), F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("f24_reserved_hosts", """WITH h AS (SELECT url, rtrim(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '.') AS h FROM (SELECT url FROM sources UNION ALL SELECT unnest(['https://example.com/', 'https://a.example.org', 'https://localhost', 'https://b.localhost', 'https://shop.test./x', 'https://notexample.com', 'https://real.site.com'])))
+ SELECT h AS host, regexp_matches(h, '(^|\\.)example\\.(com|org|net)$|\\.(example|test|invalid|localhost|local)$') AS reserved, count(*) AS n FROM h GROUP BY 1, 2""")
+def f24_reserved_hosts(spark, d):
+    """Hosts of the sources, and of a few others, that are reserved for examples and tests."""
+    more = ["https://example.com/", "https://a.example.org", "https://localhost", "https://b.localhost", "https://shop.test./x", "https://notexample.com", "https://real.site.com"]
+    u = table(spark, d, "sources").select("url").unionByName(spark.createDataFrame([(x,) for x in more], "url string"))
+    h = u.select(F.rtrim(F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#:]+)", 1)), F.lit(".")).alias("host"))
+    return h.groupBy("host", T.reserved_host(F.col("host")).alias("reserved")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f25_placeholder_emails", """WITH v AS (SELECT lower(email) AS e FROM records WHERE email <> '' UNION ALL SELECT lower(unnest(['a@b.png', 'x@yourdomain.com', 'x@cdn.wixpress.com', 'John.Doe@firm.example', 'noreply@firm.example', 'ann@firm.example', 'no-at-sign'])))
+ SELECT CASE WHEN regexp_matches(e, '\\.(png|jpg|jpeg|gif|svg|webp|avif|bmp|ico|tif|tiff|css|js|pdf)$') THEN 'file name, not an email'
+ WHEN regexp_matches(e, '(^|[@.])(domain|yourdomain|yoursite|yourcompany|yourwebsite|mydomain|mysite|company|website|sample|email|test|wixpress)\\.com$|(^|[@.])sentry(-cdn\\.com|\\.io)$') THEN 'placeholder or framework domain'
+ WHEN regexp_matches(e, '^(yourname|your\\.name|your_name|name|email|youremail|your\\.email|user|username|john\\.doe|johndoe|jane\\.doe|janedoe|firstname\\.lastname|first\\.last|firstlast|someone|example|test|noreply|no-reply|donotreply|do-not-reply)@[^@]*$') THEN 'placeholder mailbox name' ELSE '' END AS reason, count(*) AS n FROM v GROUP BY 1""")
+def f25_placeholder_emails(spark, d):
+    """Why addresses are template values, counted, over the records and a few templates."""
+    more = ["a@b.png", "x@yourdomain.com", "x@cdn.wixpress.com", "John.Doe@firm.example", "noreply@firm.example", "ann@firm.example", "no-at-sign"]
+    e = table(spark, d, "records").where("email <> ''").select("email").unionByName(spark.createDataFrame([(x,) for x in more], "email string"))
+    return e.groupBy(T.placeholder_email(F.col("email")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c31_next_midnight", "SELECT run_id, date_trunc('day', finished_at::TIMESTAMP) + INTERVAL 1 DAY AS next_day FROM discovery_runs WHERE finished_at IS NOT NULL")

@@ -7,6 +7,8 @@ from urllib.parse import urlsplit
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom.functions import dom
+from pageloom.functions import extraction as X
 from pageloom.functions import html as H
 from pageloom.functions import numbers as N
 from pageloom.functions import text as T
@@ -24,7 +26,8 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize("url, want", [
     ("HTTPS://Www.Acme.Example.:443/a?b=1#c", "https://www.acme.example/a?b=1"), ("http://acme.example", "http://acme.example/"), (None, None), ("", None),
-    ("http://u:p@acme.example/", None), ("http://acme.example:8080/", None), ("mailto:x@acme.example", None), ("http://acme.example/a\\b", None),
+    ("http://u:p@acme.example/", None), ("http://acme.example:8080/", None), ("mailto:x@acme.example", None), ("http://acme.example/a\\b", None), ("https://acme.example:80/", None), ("http://bücher.example/ä", "http://xn--bcher-kva.example/ä"),
+    ("http://[2001:4860::8888]:80/x?", "http://[2001:4860::8888]/x"), (" http://acme.example/a b ", "http://acme.example/a b"), ("http://acme.example:x/", None), ("http://acme.example/a\nb", None),
 ])
 def test_canonical_url(spark, url, want):
     assert one(spark, U.canonical_url(F.col("u")), u=url) == want
@@ -33,6 +36,7 @@ def test_canonical_url(spark, url, want):
 @pytest.mark.parametrize("url, want", [
     ("http://acme.example/a?utm_source=x&b=2&a=1", "http://acme.example/a?a=1&b=2"), ("http://acme.example/login/", None), ("http://10.0.0.1/a", None), ("http://8.8.8.8/a", "http://8.8.8.8/a"),
     ("http://localhost/a", None), ("http://acme/a", None), ("http://acme.example/a.pdf", None), ("http://acme.example/a?sort=x", None), ("http://acme.example/%2e%2e/a", None), (None, None),
+    ("http://acme.example/%7ea?q=%7e*+b%20c&e", "http://acme.example/%7ea?e=&q=~%2A+b+c"), ("http://acme.example/?%55tm_x=1&Sid=2", None), ("http://[::1]/", None), ("http://[2001:4860::8888]/", "http://[2001:4860::8888]/"), ("http://acme.example/?a=%zz", "http://acme.example/?a=%25zz"),
 ])
 def test_clean_url(spark, url, want):
     assert one(spark, U.clean_url(F.col("u")), u=url) == want
@@ -141,8 +145,8 @@ def test_aggregates(spark):
     assert (r.correct, r.false_positive, r.missed, r.expected) == (1, 2, 1, 2)
 
 
-PAGE = """<html><head><script type="application/ld+json">{"@graph": [{"@type": "Person", "name": "Ann Lee", "email": "mailto:a@b.example", "worksFor": {"name": "Acme"}}]}</script></head>
-<body><nav><a href="/x">Menu</a></nav><div class="card"><h3>Bob Ray</h3><p class="role">Agent</p><a href="mailto:Bob@b.example">mail</a><a href="tel:+1 555 010 0100">call</a></div>
+PAGE = """<html><head><script type="application/ld+json">{"@context": "https://schema.org", "@graph": [{"@type": "Person", "name": "Ann Lee", "email": "mailto:a@b.example", "worksFor": {"@type": "Organization", "name": "Acme"}}]}</script></head>
+<body><nav><a href="/x">Menu</a></nav><div class="card"><h3>Bob Ray</h3><p class="role">Agent</p><a href="MAILTO:Bob%40b.example?subject=x">mail</a><a href="tel:+1 555 010 0100">call</a></div>
 <div class="card" style="display:none"><h3>Hidden</h3></div><div itemscope itemtype="https://schema.org/Person"><span itemprop="name">Cy Dow</span></div><p>Open <a href="../p?q=1">page</a> now</p></body></html>"""
 
 
@@ -150,12 +154,46 @@ def test_html(spark):
     pages = spark.createDataFrame([(1, "http://h.example/a/b", PAGE), (2, None, None), (3, "http://h.example/", "<p>broken <a href='x'")], "id long, u string, h string")
     got = H.links(pages, "id", "u", "h").where("id = 1").orderBy("pos").collect()
     assert [(r.url, r.label) for r in got][-1] == ("http://h.example/p?q=1", "page") and got[-1].context == "Open page now" and got[0].context == ""
-    c = H.cards(pages, "id", "h", {"row": "div.card", "name": "h3", "title": ".role"}).collect()
-    assert [(r.name, r.title, r.email, r.phone) for r in c] == [("Bob Ray", "Agent", "bob@b.example", "+1 555 010 0100")]
-    assert {(r.syntax, r.name, r.employer) for r in H.entities(pages, "id", "h").collect()} == {("json-ld", "Ann Lee", "Acme"), ("microdata", "Cy Dow", "")}
+    c = H.raw_cards(pages, "id", "h", {"row": "div.card", "name": "h3", "title": ".role"}).collect()
+    assert [(r.name, r.title, r.email, r.phone, r.evidence) for r in c] == [("Bob Ray", "Agent", "Bob@b.example", "+1 555 010 0100", "Bob Ray Agent Bob@b.example mail +1 555 010 0100 call")]
+    assert {(r.syntax, r.name, r.company) for r in H.entities(pages, "id", "h").collect()} == {("json-ld", "Ann Lee", "Acme"), ("microdata", "Cy Dow", "")}
     assert pages.where("id = 2").select(H.page_text(F.col("h")).alias("t")).first().t == ""
-    with pytest.raises(ValueError):
-        H.selector("a > b")
+    many = spark.createDataFrame([(1, "http://h.example/", "<a href='x'>y</a>" * 5)], "id long, u string, h string")
+    assert [r.truncated for r in H.links(many, "id", "u", "h", 3).collect()] == [True] * 3
+
+
+@pytest.mark.parametrize("css, want", [
+    ("div > p", ["a"]), ("div p", ["a", "b"]), ("p.x:not(.y)", ["a"]), ('[title="two, words"]', ["b"]), ("[data-k^='AB' i]", ["b"]), ("h3 + p", ["a"]), ("h3 ~ p", ["a"]), ("p:nth-child(2n)", ["a"]), ("p:first-child, i", ["b", "c"]),
+    (":is(p, i):has(u)", ["c"]), ("#c u", ["d"]), ("*[id]:last-child", ["b", "c", "d"]),
+])
+def test_selectors(css, want):
+    root = dom.tree("<div><h3>t</h3><p id=a class='x'>1</p><section><p id=b class='x y' title='two, words' data-k='abc'>2</p></section></div><i id=c><u id=d></u></i>")
+    assert [n.get("id") for n in dom.select(root, dom.selector(css))] == want
+
+
+def test_recipes_are_checked():
+    assert H.checked_recipe({"row": ".a"})["name"] == H.DEFAULT_RECIPE["name"] and H.checked_recipe({"engine": "structured-v1"})
+    for bad in ({"row": ""}, {"who": "p"}, {"row": "p["}, {"row": "p >"}, {"row": ":hover"}, {"engine": "x"}, {"name": 3}):
+        with pytest.raises(ValueError):
+            H.checked_recipe(bad)
+
+
+def test_contacts_seen_in_cards(spark):
+    card = lambda name, text, more="": f"<div class='team-card'><h3>{name}</h3><p class='title'>Sales Agent</p><p>{text}</p>{more}</div>"
+    pages = [
+        (1, card("Ann Lee", "ann@firm.site.com 212-555-7777") + card("Bo Ray", "bo@firm.site.com, 212-555-8888") + card("Cy Dow", "bo@firm.site.com")),
+        (2, card("Di Fox", "info@firm.site.com") + card("Ed Gil", "e1@firm.site.com e2@firm.site.com") + "<footer>office@firm.site.com 212-555-9999</footer>" + card("Flo Hay", "212-555-9999")),
+        (3, "<nav>" + card("Gus Ivy", "gus@firm.site.com") + "</nav>" + card("<b>Hal Joy</b></h3><h3>Ira Kim", "hal@firm.site.com") + card("Jo Lux", "jo@firm.site.com", "<footer>x@firm.site.com</footer>")), (4, None),
+    ]
+    df = spark.createDataFrame([(n, h, "https://www.firm.site.com/team", "Firm", True) for n, h in pages], "id long, h string, u string, firm string, sales boolean")
+    got = {(r.name, r.email, r.phone, r.contact_scope, r.reason) for r in X.extracted(df, "id", "h", "u", "firm", "sales").collect()}
+    assert got == {
+        ("Ann Lee", "ann@firm.site.com", "212-555-7777", "unknown", None), ("Bo Ray", "", "212-555-8888", "unknown", None), ("Cy Dow", "", "", "unknown", "missing_contact"),
+        # The site's generic mailbox on the page is lent; a number of the footer is nobody's.
+        ("Di Fox", "info@firm.site.com", "", "shared", None), ("Ed Gil", "info@firm.site.com", "", "shared", None), ("Flo Hay", "info@firm.site.com", "", "shared", None),
+        # Without one, an own address of the navigation is.
+        ("Gus Ivy", "gus@firm.site.com", "", "shared", None), ("Hal Joy", "gus@firm.site.com", "", "shared", None), ("Jo Lux", "jo@firm.site.com", "", "unknown", None),
+    }
 
 
 def test_sources(spark, tmp_path):
@@ -172,6 +210,18 @@ def test_sources(spark, tmp_path):
 
 
 def test_split_agrees_with_the_standard_library(spark):
-    urls = ["http://A.example:80/x?y#z", "https://b.example/p/../q", "http://c.example?x=1"]
-    got = spark.createDataFrame([(u,) for u in urls], "u string").select(U.host(F.col("u")).alias("h"), U.part(F.col("u"), 3).alias("p")).collect()
-    assert [(r.h, r.p) for r in got] == [(urlsplit(u).hostname, urlsplit(u).path) for u in urls]
+    urls = ["http://A.example:80/x?y#z", "https://b.example/p/../q", "http://c.example?x=1", "http://d.example/a b#?"]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(U.parts(F.col("u")).alias("a")).select("a.*").collect()
+    assert [(r.host, r.path, r.query) for r in got] == [(urlsplit(u).hostname, urlsplit(u).path, urlsplit(u).query) for u in urls]
+
+
+def test_null_scopes_are_one_scope(spark):
+    rows = [(None, n, f"h{n}", False, 2, 1) for n in range(6)] + [(1, n, "h", True, 3, 1) for n in range(4)]
+    df = spark.createDataFrame(rows, "s long, pos int, host string, e boolean, slots int, cap int")
+    got = admission.admit_exact(df, "s", ["pos"], "host", "e", "slots", "cap").collect()
+    assert sorted((r.s or 0, r.pos) for r in got) == [(0, 0), (0, 1), (1, 0)]
+
+
+@pytest.mark.parametrize("text, want", [("A555-555-01000", []), ("call 212-555-0199.", ["2125550199"]), ("(212) 555-0100, x+44 20 7946 0958", ["2125550100"]), ("212-555-0100 212-555-0101", ["2125550100", "2125550101"])])
+def test_numbers_stand_alone(spark, text, want):
+    assert one(spark, T.phones(F.col("t")), t=text) == want
