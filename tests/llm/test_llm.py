@@ -69,6 +69,19 @@ def test_map_values_in_blocks(spark, monkeypatch):
     assert {(r.value, r.ref_id) for r in C.map_values(values, ref).collect()} == whole
 
 
+def test_blocks_aliases_and_initials(spark, monkeypatch):
+    labels = ["Account Executive", "Senior Account Executive", "Sales Manager", "Vice President of Sales", "Human Resources Director", "Sales Operations Analyst", "Business Development Manager", "Business Data Manager", "Account Auditor"]
+    ref = spark.createDataFrame([(n, "title", None, label) for n, label in enumerate(labels, 1)], "ref_id long, field_name string, code string, label string")
+    want = {"AE": 1, "hr dir": 5, "VP of Sales": 4, "sales vp": 4, "vps": 4, "BDM": 7, "bd mgr": 7, "Accnt": 0, "Account E…": 1, "seller": 0, "acount exective": 1, "Manager, Sales": 3, "analyst sales ops": 6}
+    values = spark.createDataFrame([("title", v, 1) for v in want], "field_name string, value string, n long")
+    got = lambda more=None: {r.value: r.ref_id for r in C.map_values(values, ref, more).collect()}
+    assert got() == want
+    alias = spark.createDataFrame([("sales manager", "seller")], "label string, alias string")
+    assert got(alias) == {**want, "seller": 3}
+    monkeypatch.setattr(C, "BLOCK_ENTRIES", 2)
+    assert got() == want and got(alias) == {**want, "seller": 3}
+
+
 # ---- 2
 @pytest.mark.parametrize("field, value, want", [
     ("name", "Ann Lee", True), ("name", "Lee, Ann", True), ("name", "LEE Ann", True), ("name", "LEE Ann C.", True), ("name", "Lee, Ann C.", True), ("name", "Ann Bo C.", False), ("name", "Dr. Ann (Annie) B. Lee, CPA", True), ("name", "Ann L.", False), ("name", "A. Lee", False), ("name", "A Lee", False),
