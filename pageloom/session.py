@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,13 +39,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; the setting is made only where it is unset (tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``.
+
+    Where the setting is unset a local session (tests, bench) gets a folder of its own, removed when the process ends; on
+    a cluster it is an error, since a folder of one machine is lost with it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = got.get() if got.isDefined() else None
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="pageloom-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="pageloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        root = "file://" + made
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/pageloom-{uuid.uuid4().hex}"
 
@@ -60,9 +70,13 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: How much larger rows are in memory than in a compressed Parquet file.
+UNPACKED = 10
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimated size is proven to be within ``limit``; else leave the join to AQE."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    """Hint a broadcast only when the estimated size, unpacked, is within ``limit``; else leave the join to AQE."""
+    return F.broadcast(df) if estimated_bytes(df) * UNPACKED <= limit else df
 
 
 def spread(df: DataFrame) -> DataFrame:
