@@ -3,6 +3,10 @@
 Everything is one pass of JVM-side regular expressions per field; nothing is shuffled. Quoted speech, code spans and
 single placeholders inside a tutorial are taken out before matching, so a text that talks about templates, errors or
 scripts is no case. Patterns use no look-around, so the same text runs in other SQL engines.
+
+Wordings that no pattern knows are learned from repetition: a text that stands word for word in the records of many
+sources, numbers apart, tells of the sites' software and not of a person. Its key is two hashes, combined before the
+shuffle; sources count, not records, so a source with a third of all records has one vote.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.registry import query
-from pageloom.session import spread, table
+from pageloom.session import spread, table, written
 
 # What a placeholder may be called, and the patterns of residue, filler, failures, notices and scripts.
 SLOT = "[\\p{L}_][\\p{L}\\p{N}_ .:|'-]{0,40}"
@@ -102,6 +106,23 @@ def fields_with_residue(df: DataFrame, row_id: str, fields: list[str]) -> DataFr
     return df.select(F.col(row_id), F.explode(marks).alias("field_name"))
 
 
+#: A text of so many words or more in so many sources or more is a notice.
+LEAST_WORDS, LEAST_SOURCES = 3, 8
+
+
+def repeated_notices(df: DataFrame, row_id: str, text: str, source: str) -> DataFrame:
+    """row_id of every row whose text, letters only, stands in LEAST_SOURCES sources or more.
+
+    NULL, empty and shorter texts are none; rows without source have no vote, but are found; repeated rows give repeated
+    results.
+    """
+    letters = F.trim(F.regexp_replace(F.lower(F.col(text)), "[^\\p{L}]+", " "))
+    keys = df.select(row_id, F.col(source).alias("__source"), letters.alias("__k")).where(F.col("__k").rlike(f"^[^ ]+(?: [^ ]+){{{LEAST_WORDS - 1}}}"))
+    keys = written(keys.select(row_id, "__source", F.xxhash64("__k").alias("h1"), F.xxhash64(F.lit(5), "__k").alias("h2")))
+    votes = keys.where("__source IS NOT NULL").select("h1", "h2", "__source").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    return keys.join(votes.where(F.col("n") >= LEAST_SOURCES), ["h1", "h2"], "left_semi").select(row_id)
+
+
 def _sql(col: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     any_of = lambda text, patterns: "(" + " OR ".join(f"regexp_matches({text}, {q('(?i)' + p)})" for p in patterns) + ")"
@@ -114,13 +135,31 @@ def _sql(col: str) -> str:
     return f"({slots} OR {any_of(plain, FILLER + FAILURES + NOTICES + SCRIPTS)} OR regexp_matches({col}, {q(ENTIRE.replace('(?iu)', '(?i)'))}))"
 
 
-@query("p4_found", f"SELECT record_id, 'name' AS field_name FROM records WHERE {_sql('name')} UNION ALL SELECT record_id, 'evidence' FROM records WHERE {_sql('evidence')}")
+_KEY = "trim(regexp_replace(lower(evidence), '[^\\p{L}]+', ' ', 'g'))"
+_REPEATED = f"""SELECT record_id FROM records WHERE {_KEY} IN (SELECT {_KEY} FROM records WHERE source_id IS NOT NULL AND len(string_split({_KEY}, ' ')) >= {LEAST_WORDS} GROUP BY 1 HAVING count(DISTINCT source_id) >= {LEAST_SOURCES})"""
+
+
+def residue_fields(spark, sf_dir) -> DataFrame:
+    """record_id, field_name of names and evidence texts with residue, by pattern or by repetition."""
+    records = table(spark, sf_dir, "records")
+    marked = fields_with_residue(spread(records.select("record_id", "name", "evidence")), "record_id", ["name", "evidence"])
+    learned = repeated_notices(spread(records.select("record_id", "source_id", "evidence")), "record_id", "evidence", "source_id")
+    return marked.unionByName(learned.withColumn("field_name", F.lit("evidence"))).distinct()
+
+
+@query("p4_found", f"""SELECT record_id, 'name' AS field_name FROM records WHERE {_sql('name')} UNION SELECT record_id, 'evidence' FROM records WHERE {_sql('evidence')} UNION SELECT record_id, 'evidence' FROM ({_REPEATED})""")
 def p4_found(spark, sf_dir):
     """Names and evidence texts that hold residue instead of, or beside, content."""
-    return fields_with_residue(spread(table(spark, sf_dir, "records").select("record_id", "name", "evidence")), "record_id", ["name", "evidence"])
+    return residue_fields(spark, sf_dir)
 
 
-@query("p4_clean", f"SELECT record_id FROM records WHERE NOT coalesce({_sql('name')}, false) AND NOT coalesce({_sql('evidence')}, false)")
+@query("p4_clean", f"SELECT record_id FROM records WHERE NOT coalesce({_sql('name')}, false) AND NOT coalesce({_sql('evidence')}, false) AND record_id NOT IN ({_REPEATED})")
 def p4_clean(spark, sf_dir):
     """Records that may be kept: neither field holds residue."""
-    return spread(table(spark, sf_dir, "records").select("record_id", "name", "evidence")).where(~residue(F.col("name")) & ~residue(F.col("evidence"))).select("record_id")
+    return table(spark, sf_dir, "records").select("record_id").join(residue_fields(spark, sf_dir), "record_id", "left_anti")
+
+
+@query("p4_learned", _REPEATED)
+def p4_learned(spark, sf_dir):
+    """Records whose evidence is a notice by repetition alone, without any list of wordings."""
+    return repeated_notices(spread(table(spark, sf_dir, "records").select("record_id", "source_id", "evidence")), "record_id", "evidence", "source_id")
