@@ -2,8 +2,9 @@
 
 Token counts come from a public tokenizer in one Arrow pass and are written once. Within a source the documents are
 put in a random but reproducible order; the expected copies are integers in billionths, so prefix sums are exact and
-don't depend on the order of additions. Prefix sums are built in two levels (sums per hash bucket, then within a
-bucket), so a source with a third of all documents is spread over all tasks.
+don't depend on the order of additions and, as decimals, don't overflow. Prefix sums are built in two levels (sums per
+hash bucket, then within a bucket); the buckets follow the number of documents, so a source with a third of all
+documents is spread over all tasks and a bucket stays small.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pageloom.session import spread, table, written
 
 TOKENIZER = os.environ.get("PAGELOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 UNIT = 1_000_000_000
-BUCKETS = 1024
+#: Documents to a bucket of prefix sums, and the most buckets of a source.
+BUCKET_ROWS, MOST_BUCKETS = 50_000, 1 << 20
 #: Longer texts are encoded in pieces of this many characters, cut at blanks.
 PIECE = 50_000
 # Fixed value: how the tokenizer's words are cut out of a text.
@@ -66,20 +68,23 @@ def pieces(text: str) -> Iterator[str]:
 def systematic_copies(df: DataFrame, stratum: str, row_id: str, expected: Column, seed: int = 17) -> DataFrame:
     """Rows with ``repeats``: how many integers the running sum of expected copies crosses within the stratum.
 
-    expected: copies as a long in billionths; NULL counts as 0. Each row gets the floor or the ceiling of its expected
+    expected: copies in billionths; NULL counts as 0. A stratum may sum up to 10^28 copies. Each row gets the floor or the ceiling of its expected
     copies and a stratum's sum is met within one copy. Rows with 0 copies are left out; repeated rows are rows.
     """
-    d = df.withColumn("__e", F.coalesce(expected.cast("long"), F.lit(0))).withColumn("__h", F.xxhash64(F.lit(seed), row_id))
-    d = d.withColumn("__b", F.pmod(F.shiftright("__h", 40), F.lit(BUCKETS)).cast("int"))
-    sums = d.groupBy(stratum, "__b").agg(F.sum("__e").alias("__s"))
+    # The number of buckets decides who is summed together, never who is chosen: the order is that of the hash.
+    buckets = 1 << min(MOST_BUCKETS.bit_length() - 1, max(6, (df.count() // BUCKET_ROWS).bit_length()))
+    wide = "decimal(38,0)"
+    d = df.withColumn("__e", F.coalesce(expected.cast(wide), F.lit(0).cast(wide))).withColumn("__h", F.xxhash64(F.lit(seed), row_id))
+    d = d.withColumn("__b", F.shiftrightunsigned("__h", 64 - (buckets.bit_length() - 1)).cast("int"))
+    sums = d.groupBy(stratum, "__b").agg(F.sum("__e").cast(wide).alias("__s"))
     before = Window.partitionBy(stratum).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(stratum).alias("__st"), F.col("__b").alias("__sb"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
+    sums = sums.select(F.col(stratum).alias("__st"), F.col("__b").alias("__sb"), F.coalesce(F.sum("__s").over(before), F.lit(0)).cast(wide).alias("__base"))
     d = d.join(sums, F.col(stratum).eqNullSafe(F.col("__st")) & (F.col("__b") == F.col("__sb"))).drop("__st", "__sb")
-    upto = F.sum("__e").over(Window.partitionBy(stratum, "__b").orderBy("__h", row_id).rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("__e").over(Window.partitionBy(stratum, "__b").orderBy(F.shiftrightunsigned("__h", 1), "__h", row_id).rowsBetween(Window.unboundedPreceding, 0))
     offset = F.pmod(F.xxhash64(F.lit(seed + 1), stratum), F.lit(UNIT))
-    d = d.withColumn("__end", F.col("__base") + upto + offset)
+    d = d.withColumn("__end", (F.col("__base") + upto.cast(wide) + offset).cast(wide))
     exact = F.expr(f"(__end div {UNIT}) - ((__end - __e) div {UNIT})")
-    return d.withColumn("repeats", exact.cast("int")).where("repeats > 0").drop("__e", "__h", "__b", "__base", "__end")
+    return d.withColumn("repeats", exact.cast("long")).where("repeats > 0").drop("__e", "__h", "__b", "__base", "__end")
 
 
 def mixed(docs: DataFrame, targets: DataFrame, doc_id: str, source: str, tokens: str, total_tokens: int | None = None, seed: int = 17) -> DataFrame:
