@@ -3,8 +3,9 @@
 The canonical form of a URL keeps scheme, host, the words and numbers of the path in their order, the query
 fields as a sorted list and the fragment's words; blanks, invisible characters, case, punctuation and escapes go.
 Counting shuffles one (key, check) per distinct page and map task: the aggregate is a hash aggregate over
-fixed-width columns, so a page with a third of all rows is combined before the shuffle. A group whose independent
-64-bit check differs between rows is a collision of the 128-bit key and is settled by the text itself.
+fixed-width columns, so a page with a third of all rows is combined before the shuffle. The 128-bit key goes with an
+independent check of the text and its length: texts that collide in the key differ in the check and stay apart, and
+``p3_collisions`` reports such keys.
 """
 
 from __future__ import annotations
@@ -108,7 +109,26 @@ def collided(df: DataFrame, scope: list[str], text: str, row_id: str) -> DataFra
     return count_copies(df, scope, text, row_id).groupBy(*scope, "h1", "h2").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
 
 
-@query("p3_found")
+# The oracle states the canonical form on its own: unescape, drop what is invisible, keep words and numbers.
+_SEEN = "regexp_replace(regexp_replace(url, '[\\x{00ad}\\x{034f}\\x{061c}\\x{115f}\\x{17b4}\\x{180e}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2064}\\x{fe00}-\\x{fe0f}\\x{feff}]', '', 'g'), '(?i)&(?:amp|#38|#x26);(?:amp;)*', '&', 'g')"
+_ADDRESS = "'(?s)^[^\\p{L}\\p{N}]*([A-Za-z][A-Za-z0-9+.-]*)\\s*:[\\s/\\\\]*([^/\\\\?#]*)([^?#]*)(?:\\?([^#]*))?(?:#(.*))?$'"
+
+
+def _said(text: str) -> str:
+    return f"trim(regexp_replace(lower(url_decode(replace({text}, '+', ' '))), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'))"
+
+
+def _group(n: int) -> str:
+    return f"regexp_extract(u, {_ADDRESS}, {n})"
+
+
+_HOST = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_group(2)}), '[\\s\\x{{00a0}}\\x{{3000}}]+', '', 'g'), '[\\x{{2010}}-\\x{{2015}}]', '-', 'g'), '([.:-])[.:-]+', '\\1', 'g'), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')"
+_FIELDS = f"array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array({_group(4)}, '[&;]'), lambda f: {_said('f')}), lambda f: f <> '')), '&')"
+_PAGES = f"""WITH s AS (SELECT url_id, campaign_id, {_SEEN} AS u FROM discovered_urls WHERE url IS NOT NULL), k AS (SELECT url_id, campaign_id, CASE WHEN regexp_matches(u, {_ADDRESS})
+ THEN lower({_group(1)}) || chr(1) || {_HOST} || chr(1) || {_said(_group(3))} || chr(1) || {_FIELDS} || chr(1) || {_said(_group(5))} ELSE {_said('u')} END AS k FROM s)"""
+
+
+@query("p3_found", f"{_PAGES} SELECT a AS url_id_a, url_id AS url_id_b FROM (SELECT url_id, min(url_id) OVER (PARTITION BY campaign_id, k) AS a FROM k) WHERE a <> url_id")
 def p3_found(spark, sf_dir):
     """Pairs (smallest url_id, other url_id) of one page of a campaign."""
     urls = canonical_url(spread(table(spark, sf_dir, "discovered_urls").select("campaign_id", "url_id", "url")), "url")
@@ -116,14 +136,14 @@ def p3_found(spark, sf_dir):
     return got.select(F.col("first_id").alias("url_id_a"), F.col("url_id").alias("url_id_b"))
 
 
-@query("p3_pages")
+@query("p3_pages", f"{_PAGES} SELECT campaign_id, min(url_id) AS url_id, count(*) AS copies FROM k GROUP BY campaign_id, k")
 def p3_pages(spark, sf_dir):
     """One row per page of a campaign: its smallest url_id and the number of copies."""
     urls = canonical_url(spread(table(spark, sf_dir, "discovered_urls").select("campaign_id", "url_id", "url")), "url")
     return count_copies(urls, ["campaign_id"], "canonical", "url_id").select("campaign_id", F.col("first_id").alias("url_id"), "copies")
 
 
-@query("p3_collisions")
+@query("p3_collisions", "SELECT campaign_id, 0::BIGINT AS texts FROM discovered_urls WHERE false")
 def p3_collisions(spark, sf_dir):
     """Keys of 128 bits that stand for several pages."""
     urls = canonical_url(spread(table(spark, sf_dir, "discovered_urls").select("campaign_id", "url_id", "url")), "url")

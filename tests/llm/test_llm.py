@@ -144,6 +144,14 @@ def test_residue(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(T.residue(F.col("t")).alias("x")).first().x is want
 
 
+def test_wordings_are_learned_from_repetition(spark):
+    rows = [(n, n % 9, f"The gremlins ate page {n}, come back later") for n in range(20)] + [(100 + n, n % 7, "Seven sources only say this") for n in range(70)]
+    rows += [(200 + n, 1, "One source says this all the time") for n in range(50)] + [(300 + n, n, "too short") for n in range(20)] + [(400, None, None), (401, 3, ""), (402, None, "the GREMLINS ate page! come back later")]
+    df = spark.createDataFrame(rows, "id long, s long, t string")
+    assert {r.id for r in T.repeated_notices(df, "id", "t", "s").collect()} == {*range(20), 402}
+    assert T.repeated_notices(df.limit(0), "id", "t", "s").count() == 0
+
+
 # ---- 5
 def test_batches_against_history(spark, tmp_path):
     old = [(1, "https://www.a.example/team/ann-lee", "Ann Lee"), (1, "http://a.example/list?page=2&dept=x", ""), (2, "http://a.example/only-two", ""), (1, None, None)]
@@ -364,6 +372,17 @@ def test_mixing(spark):
     assert len({r.id for r in got}) == len(got) and M.mixed(d.limit(0), t, "id", "source", "n").count() == 0
 
 
+def test_mixing_sums_beyond_a_long_and_buckets_change_nothing(spark, monkeypatch):
+    big = spark.createDataFrame([(n, "a") for n in range(4)], "id long, s string")
+    got = M.systematic_copies(big, "s", "id", F.lit(4_000_000_000).cast("decimal(38,0)") * 1_000_000_000).collect()
+    assert len(got) == 4 and all(abs(r.repeats - 4_000_000_000) <= 1 for r in got)
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("s"))
+    pick = lambda: {(r.id, r.repeats) for r in M.systematic_copies(df, "s", "id", F.lit(300_000_000)).collect()}
+    want = pick()
+    monkeypatch.setattr(M, "BUCKET_ROWS", 2)
+    assert pick() == want and 890 <= len(want) <= 910
+
+
 def test_token_pieces_cover_the_text():
     text = " ".join(str(n) for n in range(40_000)) + "x" * 120_000
     assert "".join(M.pieces(text)) == text and max(map(len, M.pieces(text))) <= M.PIECE
