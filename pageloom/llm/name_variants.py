@@ -3,9 +3,11 @@
 Organisations: a name is rewritten to its core letters (legal forms, articles, joining words and a former name go) and
 its kind (what the firm does, abbreviations written out). Cores are compared through their deletion variants, exploded
 and equi-joined, so typos, merged words and other separators meet without comparing all pairs; initials and acronyms
-join on their own forms and count only where the form is rare. Persons: a name becomes first-name roots (nicknames,
+join on their own forms together with the site's letters, and count only where the form is rare. Every link carries a
+score: the rarity (bits) of the rewriting by which two names meet, less a bit for each edit. Persons: a name becomes first-name roots (nicknames,
 spellings), initials and the surname's consonant skeleton with its deletion variants; forms meet only together with
-evidence (the employer's core, a phone line or an address), and every pair is verified on the full names.
+evidence (the employer's core, a phone line or an address), and every pair is verified on the full names. Nicknames are a
+table that can be given; without any, names meet by slips and initials only.
 """
 
 from __future__ import annotations
@@ -64,9 +66,10 @@ dmitri: dima mitya dmitry dimitri; mohammed: mo muhammad mohamed mohammad; abdul
 """.strip()
 
 
-def _roots() -> dict[str, list[str]]:
+def roots_of(table: str) -> dict[str, list[str]]:
+    """Roots of every form in a table of "root: form form; root: form"."""
     out: dict[str, set[str]] = {}
-    for entry in (x for line in ROOTS.splitlines() for x in line.split("; ")):
+    for entry in (x for line in table.splitlines() for x in line.split("; ")):
         root, forms = entry.split(": ")
         for f in (root, *forms.split()):
             out.setdefault(f, set()).add(root)
@@ -185,15 +188,18 @@ def deletion_forms(text: Column, edits: int) -> Column:
 
 
 def same_organisations(names: DataFrame, name: str) -> DataFrame:
-    """Pairs (a, b) of different names, a < b, that mean one organisation.
+    """Pairs (a, b) of different names, a < b, that mean one organisation, with the score of the link.
 
     names: distinct names with ``site`` (letters of the host, may be NULL). NULL, empty and nameless values pair with
-    nothing. A form is an equi-join key: cores by their deletion variants, initials and acronyms by themselves.
+    nothing. A form is an equi-join key: cores by their deletion variants, initials and acronyms with what the site's
+    letters must agree in, so that no key is as common as an acronym alone.
     """
     d = names.where(F.col(name).isNotNull() & F.col(name).rlike("\\p{L}"))
     d = d if "p" in d.columns else d.withColumn("p", company_core(F.col(name)))
     d = written(d.select(F.col(name).alias("n"), "site", "p.core", "p.kind", "p.words").where("core <> ''"))
-    cores = d.select("core", "words").groupBy("core").agg(F.max("words").alias("words"))
+    cores = written(d.select("core", "words").groupBy("core").agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("n")))
+    total = F.lit(float(max(1, d.count())))
+    rarity = lambda n: F.log2(total / n)
     turned = F.when(F.size("words") == 2, F.concat(F.get("words", 1), F.get("words", 0)))
     forms = F.filter(F.array_distinct(F.array(F.col("core"), turned)), lambda x: x.isNotNull())
     k = cores.select("core", F.explode(forms).alias("form")).where(F.length("form") >= 4)
@@ -207,28 +213,40 @@ def same_organisations(names: DataFrame, name: str) -> DataFrame:
     cores2 = written(left.join(right, "key").where((F.col("c1") != F.col("c2")) & (F.levenshtein("f1", "c2") <= 4)).select("c1", "c2").distinct())
     cores2 = cores2.unionByName(cores2.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"))).distinct()
     cores2 = cores2.unionByName(cores.select(F.col("core").alias("c1"), F.col("core").alias("c2")))
+    # The more common of two cores tells how rare their meeting is.
+    cores2 = cores2.join(cores.select(F.col("core").alias("c1"), F.col("n").alias("n1")), "c1").join(cores.select(F.col("core").alias("c2"), F.col("n").alias("n2")), "c2")
+    cores2 = cores2.select("c1", "c2", (rarity(F.greatest("n1", "n2")) - F.levenshtein("c1", "c2")).alias("score"))
     a = d.select(F.col("n").alias("a"), F.col("core").alias("c1"), F.col("kind").alias("k1"))
     b = d.select(F.col("n").alias("b"), F.col("core").alias("c2"), F.col("kind").alias("k2"))
     kinds = kinds_agree(F.col("k1"), F.col("k2"))
-    pairs = written(a.join(cores2, "c1").join(b, "c2").where(kinds & (F.col("a") < F.col("b"))).select("a", "b"))
+    pairs = written(a.join(cores2, "c1").join(b, "c2").where(kinds & (F.col("a") < F.col("b"))).select("a", "b", "score"))
     # Initials and acronyms: a form of few letters means one organisation only where one site, or one core, has it.
     full = d.where((F.size("words") == 2) & (F.length(F.get("words", 0)) > 1))
     letters = starts_of(F.col("words"), F.col("kind"))
     acronyms = d.where((F.size("words") == 1) & (F.col("kind") == "") & F.length("core").between(3, 6) & (F.upper("n") == F.col("n")))
     acronyms = acronyms.select(F.col("n").alias("a"), F.col("site").alias("s1"), F.array_join(F.array_sort(F.split("core", "")), "").alias("key"))
     spelled = full.select(F.col("n").alias("b"), F.col("core").alias("c2"), F.col("site").alias("s2"), letters.alias("key"))
-    by_letters = acronyms.join(spelled, "key").where((F.levenshtein("s1", "c2") <= 2) | (F.col("s1") == F.col("s2")))
+    spelled = written(spelled.join(acronyms.select("key").distinct(), "key", "left_semi"))
+    common = spelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # An acronym's site must be that of the spelled name, or within two letters of its core.
+    on_site = acronyms.withColumn("s2", F.col("s1")).join(spelled, ["key", "s2"]).select("a", "b", "key")
+    cut = lambda df, c: df.where(F.length(c) >= 3).withColumn("v", F.explode(deletion_forms(F.col(c), 2)))
+    by_core = cut(acronyms.where("s1 <> ''"), "s1").join(cut(spelled, "c2"), ["key", "v"]).where(F.levenshtein("s1", "c2") <= 2).select("a", "b", "key")
+    by_letters = on_site.unionByName(by_core).distinct().join(common, "key").select("a", "b", rarity(F.col("n")).alias("score"))
     initials = d.where((F.size("words") == 2) & (F.length(F.get("words", 0)) == 1))
     initials = initials.select(F.col("n").alias("a"), F.col("site").alias("s1"), F.concat_ws("|", F.get("words", 0), F.get("words", 1), "kind").alias("key"))
     rewritten = full.select(F.col("n").alias("b"), F.col("core").alias("c2"), F.col("site").alias("s2"), F.concat_ws("|", F.substring(F.get("words", 0), 1, 1), F.get("words", 1), "kind").alias("key"))
-    rarity = rewritten.groupBy("key").agg(F.count_distinct(F.substring("c2", 1, 3)).alias("meanings"))
-    by_initial = initials.join(rewritten.join(rarity, "key"), "key").where((F.col("meanings") == 1) | (F.levenshtein("s1", "c2") <= 2) | (F.col("s1") == F.col("s2")))
+    meanings = rewritten.groupBy("key").agg(F.count_distinct(F.substring("c2", 1, 3)).alias("meanings"), F.count(F.lit(1)).alias("n"))
+    by_initial = initials.join(rewritten.join(meanings, "key"), "key").where((F.col("meanings") == 1) | (F.levenshtein("s1", "c2") <= 2) | (F.col("s1") == F.col("s2")))
+    by_initial = by_initial.withColumn("score", rarity(F.col("n")))
     # On one site an initial or an acronym stands for any name of the site that starts with its letter.
     brief = acronyms.select("a", F.col("s1").alias("site")).unionByName(initials.select("a", F.col("s1").alias("site"))).where("site <> ''")
     by_site = brief.join(d.select(F.col("n").alias("b"), "site", "core"), "site").where(F.lower(F.substring("a", 1, 1)) == F.substring("core", 1, 1))
-    more = by_letters.select("a", "b").unionByName(by_initial.select("a", "b")).unionByName(by_site.select("a", "b"))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
-    return pairs.unionByName(more).distinct()
+    of_site = d.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    by_site = by_site.join(of_site, "site").withColumn("score", rarity(F.col("n")))
+    more = by_letters.unionByName(by_initial.select("a", "b", "score")).unionByName(by_site.select("a", "b", "score"))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").where("a <> b")
+    return pairs.unionByName(more).groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
 # ------------------------------------------------------------------ persons
@@ -248,7 +266,7 @@ def phone_line(phone: Column) -> Column:
     return F.when(usable("phone", phone), F.concat(F.substring(digits, -10, 10), F.lit("x"), ext))
 
 
-ROOT_OF = _roots()
+ROOT_OF = roots_of(ROOTS)
 SOFT = str.maketrans("wczjyq", "vksiik")
 
 
@@ -272,11 +290,11 @@ def fold(text: str) -> str:
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
-def person_parts(name: str) -> tuple[str | None, str | None, str | None, list[str]]:
+def person_parts(name: str, roots: dict[str, list[str]] = ROOT_OF) -> tuple[str | None, str | None, str | None, list[str]]:
     """First name, surname, consonant skeleton of the surname and initials of the first name's roots."""
     if PLAIN_NAME.match(name) and not CAPS_NAME.match(name):
         first, last = fold(name).split()
-        return first, last, bones_of(last), sorted({first[0], *(r[0] for r in ROOT_OF.get(first, ()))})
+        return first, last, bones_of(last), sorted({first[0], *(r[0] for r in roots.get(first, ()))})
     text = AROUND.sub(" ", name)
     comma = "," in text and re.search(r",\s*[^\W\d_]", text)
     words = re.findall(r"[^\W_]+", fold(text))
@@ -292,27 +310,27 @@ def person_parts(name: str) -> tuple[str | None, str | None, str | None, list[st
         last, first = words[-1], words[0]
     if len(last) < 2:
         return None, None, None, []
-    return first, last, bones_of(last), sorted({first[0], *(r[0] for r in ROOT_OF.get(first, ()))})
+    return first, last, bones_of(last), sorted({first[0], *(r[0] for r in roots.get(first, ()))})
 
 
-def compatible(a: str, b: str) -> int:
+def compatible(a: str, b: str, roots: dict[str, list[str]] = ROOT_OF) -> int:
     """1: two first names may be one (equal, a shared root, or a slip); 2: one is the other's initial; 0: neither."""
-    ra, rb = ROOT_OF.get(a, [a]), ROOT_OF.get(b, [b])
+    ra, rb = roots.get(a, [a]), roots.get(b, [b])
     if set(ra) & set(rb):
         return 1
     if len(a) == 1 or len(b) == 1:
         return 2 if {x[0] for x in (a, *ra)} & {x[0] for x in (b, *rb)} else 0
-    if a in ROOT_OF and b in ROOT_OF:
+    if a in roots and b in roots:
         return 0
     for x in (a, *ra):
         for y in (b, *rb):
             n = min(len(x), len(y))
-            if not (x in ROOT_OF and y in ROOT_OF) and n >= 4 and weighted_distance(x, y, 3) <= (2.7 if n >= 6 else 1.7):
+            if not (x in roots and y in roots) and n >= 4 and weighted_distance(x, y, 3) <= (2.7 if n >= 6 else 1.7):
                 return 1
     return 0
 
 
-def person_names(df: DataFrame, name: str) -> DataFrame:
+def person_names(df: DataFrame, name: str, roots: dict[str, list[str]] = ROOT_OF) -> DataFrame:
     """Add ``first``, ``last``, ``skeleton`` and ``starts`` of a personal name; all NULL without a surname.
 
     NULL, cut and placeholder names have no parts.
@@ -321,7 +339,7 @@ def person_names(df: DataFrame, name: str) -> DataFrame:
     @F.pandas_udf("first string, last string, skeleton string, starts array<string>")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            got = [person_parts(n) if n else (None, None, None, []) for n in s]
+            got = [person_parts(n, roots) if n else (None, None, None, []) for n in s]
             yield pd.DataFrame(got, columns=["first", "last", "skeleton", "starts"])
 
     good = F.col(name).isNotNull() & ~F.col(name).rlike(CUT) & ~residue(F.col(name))
@@ -357,8 +375,8 @@ def firm_of(records: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFram
     return known, named.withColumn("firm", F.coalesce(*given))
 
 
-def same_persons(people: DataFrame, group: str) -> DataFrame:
-    """Pairs (a, b), a < b, of groups (leads) that are one person.
+def same_persons(people: DataFrame, group: str, roots: dict[str, list[str]] = ROOT_OF) -> DataFrame:
+    """Pairs (a, b), a < b, of groups (leads) that are one person, with the score of the link: the rarity of its evidence.
 
     people: group, first, last, skeleton, starts, firm, line (phone), mail. Two names are variants if their first names
     share a root or differ by a slip, or one is the other's initial, and their surnames differ by at most a slip or two.
@@ -369,17 +387,17 @@ def same_persons(people: DataFrame, group: str) -> DataFrame:
     kinds = F.array(*(F.struct(F.lit(c[0]).alias("e"), F.col(c).alias("v")) for c in ("firm", "line", "mail")))
     evidence = people.select(group, F.inline(kinds)).where("v IS NOT NULL").distinct()
     # Only values that several groups have can be evidence; the others make no forms.
-    several = evidence.groupBy("e", "v").agg((F.min(group) < F.max(group)).alias("s")).where("s").select("e", "v")
-    evidence = evidence.join(several, ["e", "v"], "left_semi")
+    several = evidence.groupBy("e", "v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    evidence = evidence.join(several, ["e", "v"])
     names = people.where("last IS NOT NULL").select(group, "first", "last", "skeleton", "starts").distinct()
     # Initials of all roots count inside a firm, so that nicknames with another first letter meet.
     values = F.when(F.col("e") == "f", F.transform("starts", lambda x: F.concat_ws("|", "v", x))).otherwise(F.array("v"))
     forms = names.join(evidence, group).withColumn("x", F.explode(values))
     forms = forms.withColumn("k", F.explode(deletion_forms(F.col("skeleton"), 1)))
-    forms = written(forms.select(group, "first", "last", "e", F.xxhash64("e", "x", "k").alias("key")))
-    a, b = (forms.select(F.col(group).alias(x), F.col("first").alias(f"f{x}"), F.col("last").alias(f"l{x}"), F.col("e").alias(f"e{x}"), "key") for x in "ab")
+    forms = written(forms.select(group, "first", "last", "e", F.col("m").cast("int").alias("m"), F.xxhash64("e", "x", "k").alias("key")))
+    a, b = (forms.select(F.col(group).alias(x), F.col("first").alias(f"f{x}"), F.col("last").alias(f"l{x}"), F.col("e").alias(f"e{x}"), F.col("m").alias(f"m{x}"), "key") for x in "ab")
     near = F.levenshtein("la", "lb") <= F.when(F.least(F.length("la"), F.length("lb")) >= 6, 3).otherwise(1)
-    p = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ea") == F.col("eb")) & near).select("a", "b", "fa", "fb", "ea").distinct()
+    p = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ea") == F.col("eb")) & near).select("a", "b", "fa", "fb", "ea", "ma").groupBy("a", "b", "fa", "fb", "ea").agg(F.min("ma").alias("m"))
 
     @F.pandas_udf("int")
     def first(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -389,14 +407,15 @@ def same_persons(people: DataFrame, group: str) -> DataFrame:
             for k in zip(x, y):
                 v = memo.get(k)
                 if v is None:
-                    v = memo[k] = compatible(*k)
+                    v = memo[k] = compatible(*k, roots)
                     if len(memo) > 500_000:
                         memo.clear()
                 out.append(v)
             yield pd.Series(out, dtype="int32")
 
     p = p.withColumn("c", first("fa", "fb")).where((F.col("c") == 1) | ((F.col("c") == 2) & (F.col("ea") != "f")))
-    return p.select("a", "b").distinct()
+    total = F.lit(float(max(2, people.select(group).distinct().count())))
+    return p.groupBy("a", "b").agg(F.log2(total / F.min("m")).alias("score"))
 
 
 @query("p7_found")
@@ -406,7 +425,7 @@ def p7_found(spark, sf_dir):
     sources = written(sources.withColumn("p", company_core(F.col("company"))))
     records = spread(table(spark, sf_dir, "records").select("record_id", "lead_id", "source_id", "name", "company", "email", "phone"))
     names = sources.groupBy("company").agg(F.max("site").alias("site"), F.first("p").alias("p"))
-    pairs = written(same_organisations(names, "company"))
+    pairs = written(same_organisations(names, "company").select("a", "b"))
     pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     s1, s2 = sources.select(F.col("source_id").alias("id_a"), F.col("company").alias("a")), sources.select(F.col("source_id").alias("id_b"), F.col("company").alias("b"))
     # Each result is written on its own: one plan over all three would be replanned whole after every stage.
@@ -419,3 +438,13 @@ def p7_found(spark, sf_dir):
     people = written(people.drop("name", "phone"))
     persons = written(same_persons(people, "lead_id").select(F.lit("person").alias("kind"), F.col("a").alias("id_a"), F.col("b").alias("id_b")))
     return persons.unionByName(orgs).unionByName(employers)
+
+
+@query("p7_links")
+def p7_links(spark, sf_dir):
+    """Links between spellings of organisations with their scores, and how many links each of the two spellings has."""
+    sources = table(spark, sf_dir, "sources").select("company", site_letters(F.col("url")).alias("site")).where(F.col("company").rlike("\\S"))
+    links = written(same_organisations(sources.groupBy("company").agg(F.max("site").alias("site")), "company"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
+    one = lambda x: degree.select(F.col("n").alias(x), F.col("d").alias(f"links_{x}"))
+    return links.join(one("a"), "a").join(one("b"), "b").select("a", "b", F.round("score", 3).alias("score"), "links_a", "links_b")

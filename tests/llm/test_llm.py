@@ -258,6 +258,17 @@ def test_persons(spark):
     assert {(r.a, r.b) for r in V.same_persons(people, "g").collect()} == {(1, 2), (1, 5)}
 
 
+def test_links_carry_scores_and_nicknames_are_a_table(spark):
+    rows = [(n, "Margaret Ballihek" if n % 2 else "Peggy Ballihek", "big", f"p{n // 2}", None) for n in range(1, 5)] + [(n, x, "big", None, None) for n, x in enumerate(("Bo Trakent", "Cyrus Lompwid", "Dieter Kervol", "Edwina Zusshaf", "Florian Grintbuk", "Gustav Perldonc"), 10)]
+    df = spark.createDataFrame(rows, "g long, name string, firm string, line string, mail string")
+    got = {(r.a, r.b): r.score for r in V.same_persons(V.person_names(df, "name"), "g").collect()}
+    assert set(got) == {(a, b) for a in range(1, 5) for b in range(a + 1, 5)} and got[2, 3] > got[1, 2] >= 0
+    assert {(r.a, r.b) for r in V.same_persons(V.person_names(df, "name", {}), "g", {}).collect()} == {(1, 3), (2, 4)}
+    names = spark.createDataFrame([("Zunrorab Miltogun Processing", "zunrorabmiltogun"), ("Zunrorab Miltogun Proc. LLC", None), ("ZMP", "zunrorabmiltogum"), ("ZMP", None), ("Zed Milk Pay Processing", "zedmilk")], "n string, site string")
+    links = {(r.a, r.b): r.score for r in V.same_organisations(names, "n").collect()}
+    assert set(links) == {("Zunrorab Miltogun Proc. LLC", "Zunrorab Miltogun Processing"), ("ZMP", "Zunrorab Miltogun Processing"), ("ZMP", "Zunrorab Miltogun Proc. LLC")} and all(x > 0 for x in links.values())
+
+
 def test_all_evidence_of_a_lead_counts(spark):
     rows = [(1, "Margaret Ballihek", "f", "p1", None), (1, None, "f", "p2", "m1"), (1, None, "h", "p3", "m2"), (2, "M. Ballihek", "g", "p2", None), (3, "M. Ballihek", "g", "p9", "m1"), (4, "Peggy Ballihek", "h", "p8", None), (5, "M. Ballihek", "k", "p7", "m7")]
     people = V.person_names(spark.createDataFrame(rows, "g long, name string, firm string, line string, mail string"), "name")
