@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +53,43 @@ def next_midnight(at: Column) -> Column:
 def nano(amount: Column) -> Column:
     """Amount in whole billionths, exact up to nine decimals."""
     return (amount.cast("decimal(20,9)") * 1000000000).cast("long")
+
+
+def status_gate(status: Column) -> Column:
+    """What a response's status asks for: retry (429 and from 500 on), blocked (401, 403), ok (2xx), else error; error for NULL."""
+    return F.when((status == 429) | (status >= 500), "retry").when(status.isin(401, 403), "blocked").when(status.between(200, 299), "ok").otherwise("error")
+
+
+def failure_category(kind: Column, message: Column, status: Column, retryable: Column) -> Column:
+    """Category of a failure: kind is fetch, timeout, value, type or another; NULL messages, statuses and flags say nothing."""
+    text, fetch = F.lower(F.coalesce(message, F.lit(""))), kind == "fetch"
+    return (
+        F.when((kind == "timeout") | (fetch & text.rlike("timed out|timeout")), "timeout").when(fetch & text.contains("robots"), F.when(text.contains("html"), "robots_invalid").otherwise("robots_denied"))
+        .when(fetch & status.isin(401, 403), "access_blocked").when(fetch & (F.coalesce(retryable, F.lit(False)) | (status >= 500)), "http_unavailable").when(fetch, "fetch_error")
+        .when(kind.isin("value", "type"), "parser_or_extraction_error").otherwise("worker_error")
+    )
+
+
+def readiness(cards: Column, roles: Column, accepted: Column, hard: Column, truncated: Column) -> Column:
+    """Points of a recipe: cards (20 from two on, 15 for one), roles on 80 % of them 20, accepted records 25, no hard error among
+    them 25; hard errors or a truncated page cost 25; never below 0."""
+    some = lambda c, n: F.when(c, n).otherwise(0)
+    points = F.when(cards >= 2, 20).when(cards > 0, 15).otherwise(0) + some((cards > 0) & (roles / cards >= 0.8), 20) + some(accepted > 0, 25) + some((accepted > 0) & (hard == 0), 25)
+    return F.greatest(F.lit(0), points - some((hard > 0) | truncated, 25))
+
+
+def merged_counters(a: Column, b: Column) -> Column:
+    """Two counter maps as one, key by key; a NULL map counts as empty."""
+    none = F.create_map().cast("map<string,bigint>")
+    return F.map_zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+
+def sampled_priority(productive: Column, fetched: Column, seed: Column) -> Column:
+    """80 and up to 10 more by a draw from Beta(1 + productive, 1 + the rest); the seed column makes it repeatable."""
+
+    @F.pandas_udf("int")
+    def draw(p: pd.Series, n: pd.Series, s: pd.Series) -> pd.Series:
+        got = [np.random.default_rng(abs(int(k))).beta(1 + a, 1 + max(b - a, 0)) for a, b, k in zip(p, n, s)]
+        return pd.Series([80 + round(10 * x) for x in got], dtype="int32")
+
+    return draw(F.coalesce(productive, F.lit(0)), F.coalesce(fetched, F.lit(0)), seed)

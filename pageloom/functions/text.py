@@ -153,3 +153,10 @@ def identity(*values: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     """Upper estimate of the tokens of a request from its bytes."""
     return (F.ceil(F.octet_length(text) * 1.25) + 512).cast("long")
+
+
+def passage(text: Column, name: Column, most: int, early: int, before: int) -> Column:
+    """At most so many characters of a text: its beginning, or, where a name is first mentioned after ``early`` characters, from
+    ``before`` characters ahead of the mention."""
+    at = F.position(F.lower(name), F.lower(text))
+    return F.when(at <= early, F.substring(text, 1, most)).otherwise(F.substring(text, at - before, F.lit(most)))

@@ -250,3 +250,28 @@ def noise_reason(url: Column) -> Column:
 def denied(url: Column, domains: Column) -> Column:
     """Whether the host is, or lies below, one of an array of domains."""
     return F.coalesce(bound({"h": host(url)}, lambda x: F.exists(domains, lambda d: (x["h"] == d) | F.endswith(x["h"], F.concat(F.lit("."), d)))), F.lit(False))
+
+
+def metadata_url(raw: Column) -> Column:
+    """Cleaned form of an address given as metadata: it must be written without blanks around and control characters, with a
+    lower-case scheme and at most 1500 characters; NULL otherwise."""
+    ok = ~raw.rlike("^[\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]$") & (F.length(raw) <= 1500) & ~unescaped(raw).rlike("\\p{C}") & raw.rlike("^https?://")
+    return F.when(ok, clean_url(raw))
+
+
+def redirect_class(authorized: Column, target: Column, allowed_paths: Column, allow_homepage: Column) -> Column:
+    """Class of a redirect from an authorized address: unparsed (no target), invalid, same_origin, downgrade, canonical (same site,
+    path in scope), canonical_path_out_of_scope, other_subdomain or cross_domain."""
+
+    def kind(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        path = F.when(b["path"] == "", "/").otherwise(unescaped(b["path"]))
+        below = F.exists(allowed_paths, lambda p: (F.trim(p) != "") & ((path == F.rtrim(p, F.lit("/"))) | F.startswith(path, F.concat(F.rtrim(p, F.lit("/")), F.lit("/")))))
+        inside = ~path.rlike("(?:^|/)\\.\\.(?:/|$)") & ~path.contains("\\") & (((path == "/") & (b["query"] == "") & allow_homepage) | below)
+        return (
+            F.when(a.isNull() | b.isNull(), "invalid").when(_origin(a) == _origin(b), "same_origin").when((_bare(a) == _bare(b)) & (a["scheme"] == "https") & (b["scheme"] == "http"), "downgrade")
+            .when(_same_site(a, b), F.when(inside, "canonical").otherwise("canonical_path_out_of_scope"))
+            .when(F.endswith(_bare(b), F.concat(F.lit("."), _bare(a))) | F.endswith(_bare(a), F.concat(F.lit("."), _bare(b))), "other_subdomain").otherwise("cross_domain")
+        )
+
+    return F.when(F.coalesce(target, F.lit("")) == "", "unparsed").otherwise(bound({"a": parts(authorized), "b": parts(target)}, kind))

@@ -157,14 +157,6 @@ def f20_spans(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(F.substring(t, 1, 120), 256).alias("span_hash"), (F.length(t) >= 40).alias("valid"))
 
 
-@query("f33_failures", """SELECT category, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(e, 'javascript|browser') THEN 'needs_script' WHEN regexp_matches(e, 'error|fatal|traceback') THEN 'server_error' WHEN regexp_matches(e, 'not found|no existe|nicht gefunden') THEN 'missing' ELSE 'other' END AS category FROM (SELECT lower(evidence) AS e FROM records WHERE evidence IS NOT NULL)) GROUP BY 1""")
-def f33_failures(spark, d):
-    """First failure category that a text mentions, counted."""
-    e = F.lower("evidence")
-    c = F.when(e.rlike("javascript|browser"), "needs_script").when(e.rlike("error|fatal|traceback"), "server_error").when(e.rlike("not found|no existe|nicht gefunden"), "missing").otherwise("other")
-    return table(spark, d, "records").where("evidence IS NOT NULL").groupBy(c.alias("category")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("c27_queries", """SELECT DISTINCT campaign_id, k || ' ' || t AS search_query FROM (SELECT campaign_id, unnest(keywords) AS k, sales_terms FROM campaigns), unnest(sales_terms) AS x(t)""")
 def c27_queries(spark, d):
     """Search queries of a campaign: every keyword with every sales term, within the row."""
@@ -203,10 +195,3 @@ def u05_taken_sites(spark, d):
     return both.where(h != "").select(F.regexp_replace(h, "^www\\.", "").alias("site")).distinct()
 
 
-@query("w12_explained", """SELECT spec_id, (CASE WHEN seed THEN 300 WHEN source_hint IS NOT NULL THEN 200 ELSE 100 END) + priority - least(depth * 5, 20) AS worth,
- row_number() OVER (PARTITION BY run_id ORDER BY (CASE WHEN seed THEN 300 WHEN source_hint IS NOT NULL THEN 200 ELSE 100 END) + priority - least(depth * 5, 20) DESC, spec_id) AS place FROM url_batches""")
-def w12_explained(spark, d):
-    """Tiered worth of every spec and its place in the run."""
-    worth = F.when(F.col("seed"), 300).when(F.col("source_hint").isNotNull(), 200).otherwise(100) + F.col("priority") - F.least(F.col("depth") * 5, F.lit(20))
-    b = table(spark, d, "url_batches").select("spec_id", "run_id", worth.alias("worth"))
-    return b.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("worth"), "spec_id"))).drop("run_id")

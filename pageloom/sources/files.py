@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import safe_cell
@@ -64,36 +64,88 @@ def index_lines(spark: SparkSession, path: str, schema: str = "url string") -> D
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(F.col(schema.split()[0]).isNotNull())
 
 
-def sitemap_entries(body: bytes) -> list[tuple[str, str]]:
-    """(kind, address) of a sitemap or sitemap index: at most 2000, gzip by its mark; [] for DTDs and other XML."""
+def strict_texts(df: DataFrame, row_id: str, body: str) -> DataFrame:
+    """row_id, document (canonical JSON text), error of every text of a column; a bad or NULL text gives an error, no failure."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, c in zip(pdf["i"], pdf["c"]):
+                try:
+                    rows.append((i, json.dumps(strict_json(c or ""), sort_keys=True, separators=(",", ":"), ensure_ascii=False), None))
+                except (ValueError, RecursionError) as e:
+                    rows.append((i, None, str(e)[:200]))
+            yield pd.DataFrame(rows, columns=[row_id, "document", "error"])
+
+    return df.select(F.col(row_id).cast("long").alias("i"), F.col(body).alias("c")).mapInPandas(run, f"{row_id} long, document string, error string")
+
+
+def decoded(body: Column, content_type: Column) -> Column:
+    """Text of a response in the charset that its content type declares, UTF-8 without one or with an unknown one; bad bytes become
+    replacement characters; NULL for NULL."""
+
+    @F.pandas_udf("string")
+    def read(b: pd.Series, t: pd.Series) -> pd.Series:
+        out = []
+        for raw, kind in zip(b, t):
+            charset = (kind or "").split("charset=")[-1].split(";")[0].strip(" \"'") if "charset=" in (kind or "") else "utf-8"
+            try:
+                out.append(None if raw is None else bytes(raw).decode(charset, errors="replace"))
+            except LookupError:
+                out.append(bytes(raw).decode("utf-8", errors="replace"))
+        return pd.Series(out, dtype=object)
+
+    return read(body, content_type)
+
+
+def sitemap_entries(body: bytes, most: int = MOST_SITEMAP) -> list[tuple[str, str]]:
+    """(kind, address) of the first entries of a sitemap or sitemap index; gzip by its mark; [] for DTDs and other XML."""
+    return sitemap(body, most)[0]
+
+
+def sitemap(body: bytes, most: int = MOST_SITEMAP) -> tuple[list[tuple[str, str]], bool]:
+    """The first entries of a sitemap, and whether it has more."""
     import xml.etree.ElementTree as ET
 
-    raw = gzip.decompress(body) if body[:2] == b"\x1f\x8b" else body
-    if re.search(rb"<!(?:DOCTYPE|ENTITY)", raw[:4096], re.I):
-        return []
     try:
-        root = ET.fromstring(raw)
-    except ET.ParseError:
-        return []
+        raw = gzip.decompress(body) if body[:2] == b"\x1f\x8b" else body
+        root = None if re.search(rb"<!(?:DOCTYPE|ENTITY)", raw[:4096], re.I) else ET.fromstring(raw)
+    except (ET.ParseError, OSError, EOFError):
+        root = None
+    if root is None:
+        return [], False
     name = lambda e: e.tag.rsplit("}", 1)[-1]
     kind = {"urlset": "page", "sitemapindex": "sitemap"}.get(name(root))
     if not kind:
-        return []
-    out = []
-    for child in list(root)[:MOST_SITEMAP]:
-        out += [(kind, (e.text or "").strip()) for e in child if name(e) == "loc" and (e.text or "").strip()]
-    return out
+        return [], False
+    children = list(root)
+    return [(kind, e.text.strip()) for child in children[:most] for e in child if name(e) == "loc" and (e.text or "").strip()], len(children) > most
 
 
-def sitemaps(spark: SparkSession, path: str) -> DataFrame:
-    """path, pos, kind, url of all sitemap files of a folder."""
+def sitemap_rows(df: DataFrame, row_id: str, body: str) -> DataFrame:
+    """row_id, pos, kind, url, truncated of the entries of every body; NULL, broken and other XML give no row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, n, k, u) for p, c in zip(pdf["path"], pdf["content"]) for n, (k, u) in enumerate(sitemap_entries(bytes(c)))]
-            yield pd.DataFrame(rows, columns=["path", "pos", "kind", "url"]).astype({"pos": "int32"})
+            rows = []
+            for i, c in zip(pdf["i"], pdf["c"]):
+                got, more = sitemap(bytes(c)) if c is not None else ([], False)
+                rows.extend((i, n, k, u, more) for n, (k, u) in enumerate(got))
+            yield pd.DataFrame(rows, columns=[row_id, "pos", "kind", "url", "truncated"]).astype({"pos": "int32"})
+
+    kind = df.schema[row_id].dataType.simpleString()
+    return df.select(F.col(row_id).alias("i"), F.col(body).alias("c")).mapInPandas(run, f"{row_id} {kind}, pos int, kind string, url string, truncated boolean")
+
+
+def sitemaps(spark: SparkSession, path: str) -> DataFrame:
+    """path, pos, kind, url, truncated of all sitemap files of a folder."""
+    return sitemap_rows(spark.read.format("binaryFile").load(path).select("path", "content"), "path", "content")
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, pos int, kind string, url string")
+def saved_pages(spark: SparkSession, path: str) -> DataFrame:
+    """path, html, saved_at of the HTML files of a folder, decoded as UTF-8."""
+    got = spark.read.format("binaryFile").option("pathGlobFilter", "*.htm*").load(path)
+    return got.select("path", decoded(F.col("content"), F.lit("text/html")).alias("html"), F.col("modificationTime").alias("saved_at"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
