@@ -75,10 +75,15 @@ def a08_counters(spark, d):
     return A.counter_sums(table(spark, d, "discovery_runs"), ["campaign_id"], "diagnostics")
 
 
-@query("a09_terminal", """SELECT run_id, CASE WHEN contacts_seen > 0 AND new_contacts = 0 THEN 'refresh_only' WHEN pages_done > 0 AND contacts_seen = 0 THEN 'no_accepted_contacts' ELSE 'completed' END AS ending FROM discovery_runs""")
+@query("a09_terminal", """SELECT run_id, CASE WHEN status = 'failed' THEN 'job_failures' WHEN contacts_seen = 0 AND coalesce(list_sum(map_values(diagnostics)), 0) > 0 THEN 'extraction_rejected'
+ WHEN pages_done > 0 AND contacts_seen = 0 THEN 'no_accepted_contacts' WHEN contacts_seen > 0 AND new_contacts = 0 THEN 'refresh_only' ELSE 'completed' END AS ending FROM discovery_runs""")
 def a09_terminal(spark, d):
-    """How a run's counters say it ended."""
-    e = F.when((F.col("contacts_seen") > 0) & (F.col("new_contacts") == 0), "refresh_only").when((F.col("pages_done") > 0) & (F.col("contacts_seen") == 0), "no_accepted_contacts").otherwise("completed")
+    """How a run ended: failures, then refused cards, then pages without contacts, then known contacts only; its diagnostics count the refusals."""
+    refused = F.coalesce(F.aggregate(F.map_values("diagnostics"), F.lit(0).cast("long"), lambda x, v: x + v), F.lit(0))
+    e = (
+        F.when(F.col("status") == "failed", "job_failures").when((F.col("contacts_seen") == 0) & (refused > 0), "extraction_rejected")
+        .when((F.col("pages_done") > 0) & (F.col("contacts_seen") == 0), "no_accepted_contacts").when((F.col("contacts_seen") > 0) & (F.col("new_contacts") == 0), "refresh_only").otherwise("completed")
+    )
     return table(spark, d, "discovery_runs").select("run_id", e.alias("ending"))
 
 
