@@ -187,6 +187,12 @@ def deletion_forms(text: Column, edits: int) -> Column:
     return F.array_distinct(F.transform(forms, lambda f: F.xxhash64(f)))
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """A side that is joined by sorting, at any session threshold: Catalyst's estimate of exploded rows is that of the
+    rows before, so it would collect hundreds of variants of each name into the driver."""
+    return df.hint("merge")
+
+
 def same_organisations(names: DataFrame, name: str) -> DataFrame:
     """Pairs (a, b) of different names, a < b, that mean one organisation, with the score of the link.
 
@@ -210,7 +216,7 @@ def same_organisations(names: DataFrame, name: str) -> DataFrame:
         short.select("core", "form", F.explode(deletion_forms(F.col("form"), 1)).alias("key"))
     )
     left, right = keys.select(F.col("core").alias("c1"), F.col("form").alias("f1"), "key"), keys.where("core = form").select(F.col("core").alias("c2"), "key")
-    cores2 = written(left.join(right, "key").where((F.col("c1") != F.col("c2")) & (F.levenshtein("f1", "c2") <= 4)).select("c1", "c2").distinct())
+    cores2 = written(left.join(unbroadcast(right), "key").where((F.col("c1") != F.col("c2")) & (F.levenshtein("f1", "c2") <= 4)).select("c1", "c2").distinct())
     cores2 = cores2.unionByName(cores2.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"))).distinct()
     cores2 = cores2.unionByName(cores.select(F.col("core").alias("c1"), F.col("core").alias("c2")))
     # The more common of two cores tells how rare their meeting is.
@@ -231,7 +237,7 @@ def same_organisations(names: DataFrame, name: str) -> DataFrame:
     # An acronym's site must be that of the spelled name, or within two letters of its core.
     on_site = acronyms.withColumn("s2", F.col("s1")).join(spelled, ["key", "s2"]).select("a", "b", "key")
     cut = lambda df, c: df.where(F.length(c) >= 3).withColumn("v", F.explode(deletion_forms(F.col(c), 2)))
-    by_core = cut(acronyms.where("s1 <> ''"), "s1").join(cut(spelled, "c2"), ["key", "v"]).where(F.levenshtein("s1", "c2") <= 2).select("a", "b", "key")
+    by_core = cut(acronyms.where("s1 <> ''"), "s1").join(unbroadcast(cut(spelled, "c2")), ["key", "v"]).where(F.levenshtein("s1", "c2") <= 2).select("a", "b", "key")
     by_letters = on_site.unionByName(by_core).distinct().join(common, "key").select("a", "b", rarity(F.col("n")).alias("score"))
     initials = d.where((F.size("words") == 2) & (F.length(F.get("words", 0)) == 1))
     initials = initials.select(F.col("n").alias("a"), F.col("site").alias("s1"), F.concat_ws("|", F.get("words", 0), F.get("words", 1), "kind").alias("key"))
@@ -364,7 +370,7 @@ def firm_of(records: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFram
     rank = F.struct("n", "core")
     variants = counts.where(F.length("core") >= 8).select("core", "n", F.explode(deletion_forms(F.col("core"), 1)).alias("key"))
     best = variants.groupBy("key").agg(F.max(rank).alias("b"))
-    canon = variants.join(best, "key").groupBy("core").agg(F.max("b").alias("c"))
+    canon = variants.join(unbroadcast(best), "key").groupBy("core").agg(F.max("b").alias("c"))
     canon = written(canon.select("core", F.col("c.core").alias("canonical"), F.col("c.n").alias("n")))
     # Where a company is its source's, the more frequent of the two canonical cores counts.
     owned = sources.select("source_id", F.col("p.core").alias("core")).join(canon, "core").select("source_id", F.col("canonical").alias("own_canonical"), F.col("n").alias("own_n"))
@@ -388,16 +394,16 @@ def same_persons(people: DataFrame, group: str, roots: dict[str, list[str]] = RO
     evidence = people.select(group, F.inline(kinds)).where("v IS NOT NULL").distinct()
     # Only values that several groups have can be evidence; the others make no forms.
     several = evidence.groupBy("e", "v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    evidence = evidence.join(several, ["e", "v"])
+    evidence = evidence.join(unbroadcast(several), ["e", "v"])
     names = people.where("last IS NOT NULL").select(group, "first", "last", "skeleton", "starts").distinct()
     # Initials of all roots count inside a firm, so that nicknames with another first letter meet.
     values = F.when(F.col("e") == "f", F.transform("starts", lambda x: F.concat_ws("|", "v", x))).otherwise(F.array("v"))
-    forms = names.join(evidence, group).withColumn("x", F.explode(values))
+    forms = names.join(unbroadcast(evidence), group).withColumn("x", F.explode(values))
     forms = forms.withColumn("k", F.explode(deletion_forms(F.col("skeleton"), 1)))
     forms = written(forms.select(group, "first", "last", "e", F.col("m").cast("int").alias("m"), F.xxhash64("e", "x", "k").alias("key")))
     a, b = (forms.select(F.col(group).alias(x), F.col("first").alias(f"f{x}"), F.col("last").alias(f"l{x}"), F.col("e").alias(f"e{x}"), F.col("m").alias(f"m{x}"), "key") for x in "ab")
     near = F.levenshtein("la", "lb") <= F.when(F.least(F.length("la"), F.length("lb")) >= 6, 3).otherwise(1)
-    p = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ea") == F.col("eb")) & near).select("a", "b", "fa", "fb", "ea", "ma").groupBy("a", "b", "fa", "fb", "ea").agg(F.min("ma").alias("m"))
+    p = a.join(unbroadcast(b), "key").where((F.col("a") < F.col("b")) & (F.col("ea") == F.col("eb")) & near).select("a", "b", "fa", "fb", "ea", "ma").groupBy("a", "b", "fa", "fb", "ea").agg(F.min("ma").alias("m"))
 
     @F.pandas_udf("int")
     def first(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
