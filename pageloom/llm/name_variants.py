@@ -179,12 +179,13 @@ def company_core(name: Column) -> Column:
 def deletion_forms(text: Column, edits: int) -> Column:
     """The text and every rest of it after deleting one (or two) characters, as 64-bit hashes."""
     cut = lambda t, i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))
-    one = lambda t, start: F.transform(F.sequence(start, F.length(t)), lambda i: cut(t, i))
-    forms = F.concat(F.array(text), one(text, F.lit(1)))
+    one = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: cut(text, i))
+    hashes = F.concat(F.array(F.xxhash64(text)), F.transform(one, lambda f: F.xxhash64(f)))
     if edits > 1:
-        two = F.flatten(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.transform(F.sequence(i, F.length(text) - 1), lambda j: cut(cut(text, i), j))))
-        forms = F.concat(forms, two)
-    return F.array_distinct(F.transform(forms, lambda f: F.xxhash64(f)))
+        # Each rest is cut once and its second cuts go on from there; the last rest has none beyond its end.
+        after = lambda t, i: F.transform(F.sequence(i + 1, F.length(t)), lambda j: F.xxhash64(cut(t, j)))
+        hashes = F.concat(hashes, F.flatten(F.transform(F.slice(one, F.lit(1), F.greatest(F.length(text) - 1, F.lit(0))), after)))
+    return F.array_distinct(hashes)
 
 
 def unbroadcast(df: DataFrame) -> DataFrame:
@@ -267,8 +268,9 @@ def site_letters(url: Column) -> Column:
 
 def phone_line(phone: Column) -> Column:
     """Digits of a usable phone with its extension."""
-    ext = F.regexp_extract(phone, "(?i)(?:ext|x)\\.?\\s*(\\d+)\\s*$", 1)
-    digits = F.regexp_replace(F.regexp_replace(phone, "(?i)\\s*(?:ext|x)\\.?\\s*\\d+\\s*$", ""), "\\D", "")
+    marked = phone.contains("x") | phone.contains("X")
+    ext = F.when(marked, F.regexp_extract(phone, "(?i)(?:ext|x)\\.?\\s*(\\d+)\\s*$", 1)).otherwise("")
+    digits = F.regexp_replace(F.when(marked, F.regexp_replace(phone, "(?i)\\s*(?:ext|x)\\.?\\s*\\d+\\s*$", "")).otherwise(phone), "\\D", "")
     return F.when(usable("phone", phone), F.concat(F.substring(digits, -10, 10), F.lit("x"), ext))
 
 
@@ -361,7 +363,10 @@ def firm_of(records: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFram
     domain = F.regexp_replace(F.regexp_extract(F.lower("email"), "@(?:.*\\.)?([^.@]+)\\.[a-z]+$", 1), "[^a-z]", "")
     d = records.withColumn("mail", F.when(usable("email", F.col("email")), F.lower(F.trim("email")))).withColumn("domain", F.when(F.col("mail").isNotNull(), domain))
     own = sources.select("source_id", F.col("company").alias("own_name"), F.col("p").alias("own"))
-    named = d.withColumn("p", company_core(F.col("company"))).join(small(own), "source_id", "left")
+    # A company written as its source's was parsed with it.
+    named = d.join(small(own), "source_id", "left")
+    named = named.withColumn("p", company_core(F.when(~F.col("company").eqNullSafe(F.col("own_name")), F.col("company"))))
+    named = named.withColumn("p", F.when(F.col("company") == F.col("own_name"), F.col("own")).otherwise(F.col("p")))
     named = written(named.select(
         "record_id", "lead_id", "source_id", "name", "phone", "mail", "domain", F.col("p.core").alias("core"), F.col("own.core").alias("own_core"), (F.col("company") != F.col("own_name")).alias("differs"),
         F.coalesce(F.col("own").isNotNull() & ((F.col("company") == F.col("own_name")) | same_employer("own", "p")), F.lit(False)).alias("employed"),

@@ -296,6 +296,16 @@ def test_variants_are_never_broadcast(spark, monkeypatch):
                 assert not any("Generate " in y for y in below(lines[k + 1 :], len(x) - len(x.lstrip(" :|+-")))), plan
 
 
+def test_variant_forms_are_all_deletions(spark):
+    words = ["abc", "aab", "\u00e7\u00e9\u65e5\u672c", "zunrorab", "a", ""]
+    rests = lambda w, n: {w} if not n else {w}.union(*(rests(w[:k] + w[k + 1 :], n - 1) for k in range(len(w))))
+    d = spark.createDataFrame([(w, sorted(x for x in rests(w, n) if len(x) >= len(w) - n), n) for w in words for n in (1, 2) if len(w) > n], "w string, want array<string>, n int")
+    for n in (1, 2):
+        got = d.where(F.col("n") == n).select("w", F.array_sort(V.deletion_forms(F.col("w"), n)).alias("got"), F.array_sort(F.transform("want", lambda x: F.xxhash64(x))).alias("want"))
+        assert all(r.got == r.want for r in got.collect())
+    assert [len(r.x) for r in spark.createDataFrame([("",)], "w string").select(V.deletion_forms(F.col("w"), 2).alias("x")).collect()] == [1]
+
+
 # ---- 8
 def test_myers_matches_brute_force():
     rng = random.Random(4)
