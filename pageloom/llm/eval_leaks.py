@@ -3,8 +3,9 @@
 Items are few and known, documents are many: the items become a broadcast index of bounded size, the documents are
 streamed once and only (document, item) pairs come out. Items of the same words are one text, searched once; its finds
 hold for each of them. Every window of a passage's least length with a budget of k edits is split into k + 1 pieces, of
-which one must occur unchanged; a piece of common words that many items hold proves nothing and is left out. Each hit is
-verified by the bit-parallel distance of its windows around the hit. A verbatim window counts if no other item's text
+which one must occur unchanged. A piece of common words that many items hold is followed only for the items that have a
+specific word near it in the text, or where a window of such pieces alone stands verbatim: no other window could count.
+Each hit is verified by the bit-parallel distance of its windows around the hit. A verbatim window counts if no other item's text
 holds it too, else with a specific word; a reworded one with a specific word and with most of its information (idf over
 the items). Where a name, a number or a specific word is among what differs, two specific words and most of them must be
 there, which keeps sentences built alike about other names and numbers apart. In unspaced scripts pairs of characters are
@@ -23,6 +24,7 @@ import hashlib
 import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -183,10 +185,32 @@ class Index:
             for at in range(len(words) - PIECE + 1):
                 self.pieces[tuple(words[at : at + PIECE])].append((p, at))
         few = max(2, SPECIFIC * known.items)
-        self.pieces = {x: at for x, at in self.pieces.items() if any(w in rare for w in x) or known.often.get(hashed(x), 1) <= few}
+        every = self.pieces
+        self.pieces = {x: at for x, at in every.items() if any(w in rare for w in x) or known.often.get(hashed(x), 1) <= few}
+        # Pieces of common words by passage, and what makes a window around them count: a passage's specific units, or all
+        # of a window that has neither these nor another piece and is no other item's.
+        self.common: dict[tuple[str, ...], dict[int, list[int]]] = defaultdict(dict)
+        for x in every.keys() - self.pieces.keys():
+            for p, at in every[x]:
+                self.common[x].setdefault(p, []).append(at)
+        self.places: dict[str, set[int]] = defaultdict(set)
+        self.plain: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
+        # A window that holds a piece and the text near it end within so many words of the piece.
+        self.reach = (LEAST_CHARS if any(self.is_dense) else LEAST_WORDS) + 2 * PIECE
+        for p in {p for held in self.common.values() for p in held}:
+            words = [w for _, w in self.passages[p][1]]
+            for u in units(words):
+                if u in self.specific:
+                    self.places[u].add(p)
+            grams = [tuple(words[at : at + PIECE]) for at in range(len(words) - PIECE + 1)]
+            for at, x in enumerate(grams):
+                if x in self.common and (w := self.window(p, at)):
+                    own = words[at : w[1]]
+                    if all(y in self.common for y in grams[at : w[1] - PIECE + 1]) and not self.specific.intersection(units(own)) and hashed(own) not in self.shared_windows:
+                        self.plain[x].append((p, at))
         # A piece is looked up from its rarest word, so that most words of a text cost one look.
         self.anchors: dict[str, tuple[int, ...]] = {}
-        for x in self.pieces:
+        for x in every:
             at = min(range(PIECE), key=lambda k: known.df.get(x[k], 0))
             if at not in self.anchors.get(x[at], ()):
                 self.anchors[x[at]] = (*self.anchors.get(x[at], ()), at)
@@ -243,17 +267,37 @@ class Index:
             got += min(c, have[x]) * weight
         return kept > 0 and got >= SAME * total
 
+    def common_hits(self, ts: list[str], common: list[tuple[int, tuple[str, ...]]]) -> Iterator[tuple[int, int, int]]:
+        """(passage, place in the text, place in the passage) of the pieces of common words around which a window may count."""
+        spots = [(k, x) for k, x in enumerate(ts) if x in self.places]
+        spots += [(k, a + b) for k, (a, b) in enumerate(zip(ts, ts[1:])) if not a.isascii() and unspaced(a) and unspaced(b) and a + b in self.places]
+        spots.sort()
+        where = [k for k, _ in spots]
+        for at, x in common:
+            held = self.common[x]
+            near = {u for _, u in spots[bisect_left(where, at - self.reach) : bisect_right(where, at + self.reach)]}
+            for p in {p for u in near for p in held.keys() & self.places[u]}:
+                yield from ((p, at, pos) for pos in held[p])
+            for p, start in self.plain.get(x, ()):
+                if ts[at : at + (n := self.window(p, start)[1] - start)] == [w for _, w in self.passages[p][1][start : start + n]]:
+                    yield p, at, start
+
     def leaks(self, text: str) -> set[tuple[int, int]]:
         """(item_id, sentence) of the passages found in a text."""
         ts = tokens(text)
         found: set[tuple[int, int]] = set()
         hits: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        anchors, pieces = self.anchors, self.pieces
+        anchors, pieces, common = self.anchors, self.pieces, []
         for here, word in enumerate(ts):
             for back in anchors.get(word, ()):
                 at = here - back
-                for p, pos in pieces.get(tuple(ts[at : at + PIECE]), ()) if at >= 0 else ():
+                x = tuple(ts[at : at + PIECE]) if at >= 0 else ()
+                for p, pos in pieces.get(x, ()):
                     hits[p][at - pos].append(pos)
+                if x in self.common:
+                    common.append((at, x))
+        for p, at, pos in self.common_hits(ts, common) if common else ():
+            hits[p][at - pos].append(pos)
         for p, diagonals in hits.items():
             item, words = self.passages[p]
             checked = set()
